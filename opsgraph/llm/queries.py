@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language_id, license_scan, pii, secret_scan, sentencepiece_codec, sharding
+from . import decontaminate, fingerprints, language_id, license_scan, minhash_dedup, pii, secret_scan, sentencepiece_codec, sharding, suffix_dedup
 from .shared import text_of
 
 #: Where the public tokenizer files are, unless a parameter says otherwise.
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = language_id.fit(documents)
@@ -64,6 +68,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return out.select("doc_id", "n_bytes", cut.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("findings", lambda f: f["base"])
@@ -99,5 +109,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.size("matches") > 0).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_license_scan, op4_pii, op5_sharding, op7_secret_scan, op8_fingerprints, op9_sentencepiece, op10_decontamination, lang_pages)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_license_scan, op4_pii, op5_sharding, op6_suffix_dedup, op7_secret_scan, op8_fingerprints, op9_sentencepiece, op10_decontamination, lang_pages)}
 ORACLE_SQL: dict[str, str] = {}
