@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers.
 
-A k-mer of words is an anchor when the smallest of its inner runs of s words (by hash) is the first or the last one.
+A k-mer of words is an anchor when the smallest of its inner runs of s words (by hash; single words here) is the first
+or the last one.
 That depends on the k-mer alone, so a passage has the same anchors wherever it stands, and an edit moves no anchor
 outside its own k words.  The fingerprint keeps the anchors with the smallest hashes, each with its place, in order of
 place; two fingerprints are compared by the share of anchors in common, and the places of common anchors give the
@@ -19,63 +20,89 @@ from pyspark.sql import functions as F
 from .shared import partitions, text_of
 
 #: Words of a k-mer and of an inner run, and anchors kept.
-K, S, KEPT = 5, 2, 128
-
-
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Array of (hash, at): all closed syncmers of a text, ``at`` being the index of the first word."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    # Word hashes are computed once: an array bound by a lambda is a value, a repeated expression isn't.
-    return _let(hashes, lambda h: _let(_inner(h, s), lambda inner: _closed(h, inner, k, s)))
+K, S, KEPT = 5, 1, 64
+SPACE = " \t\n\x0b\x0c\r"
+PLACE = "struct<hash:bigint,at:int>"
 
 
 def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an array bound by a lambda is a value, a repeated expression isn't."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _inner(h: Column, s: int) -> Column:
-    """Hashes of the runs of s words."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - s)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(s)]))
+def _hash(h: Column, i: Column, n: int) -> Column:
+    return F.xxhash64(*[F.get(h, i + j) for j in range(n)])
+
 
+def _hashes(text: Column) -> Column:
+    """Hashes of the words; of nothing but white space, one of the empty word (see :func:`_nothing`)."""
+    return F.transform(F.split(F.btrim(text, F.lit(SPACE)), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
 
-def _closed(h: Column, inner: Column, k: int, s: int) -> Column:
+
+def _nothing(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACE)) == ""
+
+
+def _closed(h: Column, k: int, s: int) -> Column:
+    """Places of the closed syncmers among the k-mers of word hashes."""
+    inner = h if s == 1 else F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - s)), lambda i: _hash(h, i, s))
     span = k - s  # inner runs 0 to span
 
-    def closed(i):
-        edge = F.least(F.get(inner, i), F.get(inner, i + span))
-        if span < 2:
-            return F.lit(True)
-        return edge <= F.least(*[F.get(inner, i + j) for j in range(1, span)]) if span > 2 else edge <= F.get(inner, i + 1)
+    def places(runs):
+        def closed(i):
+            middle = [F.get(runs, i + j) for j in range(1, span)]
+            edge = F.least(F.get(runs, i), F.get(runs, i + span))
+            return edge <= (F.least(*middle) if len(middle) > 1 else middle[0]) if middle else F.lit(True)
+
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - k)), closed)
+
+    return places(h) if s == 1 else _let(inner, places)
 
-    places = F.filter(F.sequence(F.lit(0), F.size(h) - k), closed)
-    kmers = F.transform(places, lambda i: F.struct(F.xxhash64(*[F.get(h, i + j) for j in range(k)]).alias("hash"), i.alias("at")))
-    whole = F.array(F.struct(F.aggregate(h, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)).alias("hash"), F.lit(0).alias("at")))
-    none = F.expr("cast(array() as array<struct<hash:bigint,at:int>>)")
-    return F.when(F.size(h) == 0, none).when(F.size(h) < k, whole).otherwise(kmers)
+
+def _whole(h: Column) -> Column:
+    return F.array(F.struct(F.aggregate(h, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)).alias("hash"), F.lit(0).alias("at")))
+
+
+def _anchor(h: Column, k: int):
+    return lambda i: F.struct(_hash(h, i, k).alias("hash"), i.alias("at"))
+
+
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """Array of (hash, at): all closed syncmers of a text, ``at`` being the index of the first word."""
+    found = _let(_hashes(text), lambda h: F.when(F.size(h) < k, _whole(h)).otherwise(F.transform(_closed(h, k, s), _anchor(h, k))))
+    return F.when(_nothing(text), F.expr(f"cast(array() as array<{PLACE}>)")).otherwise(found)
 
 
 def fingerprint(text: Column, k: int = K, s: int = S, kept: int = KEPT) -> Column:
     """Array of (hash, at): the ``kept`` distinct anchors with the smallest hashes (the first place of each), by place.
 
-    Only about ``kept`` anchors are sorted: a threshold on the hash, from the number of anchors, thins them first.
+    The largest hash to keep is found among those below a guess from their number, some half more than are kept; where
+    the guess is too low, among all.
     """
-    def choose(found):
-        near = F.lit(float(-(2**63))) + F.lit(float(2**64)) * (2.0 * kept + 64) / F.size(found)
-        few = F.filter(found, lambda a: a["hash"].cast("double") <= near)
-        return _let(few, lambda x: F.when((F.size(found) > 4 * kept) & (F.size(F.array_distinct(F.transform(x, lambda a: a["hash"]))) >= kept), x).otherwise(found))
+    def bound(distinct):
+        near = (F.lit(float(-(2**63))) + F.lit(float(2**64)) * (1.5 * kept + 24) / F.size(distinct)).cast("long")
+        last = lambda x: F.get(F.sort_array(x), F.lit(kept - 1))
+        guess = _let(F.filter(distinct, lambda x: x <= near), lambda few: F.when(F.size(few) >= kept, last(few)).otherwise(last(distinct)))
+        return F.when(F.size(distinct) <= kept, F.lit(2**63 - 1)).when(F.size(distinct) <= 2 * kept, last(distinct)).otherwise(guess)
+
+    def choose(hashes, at):
+        def of(p):
+            kept_ones = F.filter(F.zip_with(hashes, at, lambda h, i: F.struct(h.alias("hash"), i.alias("at"))), lambda a: a["hash"] <= p["bound"])
+            first = lambda x: _let(F.transform(x, lambda a: a["hash"]), lambda h: F.filter(x, lambda a, i: F.array_position(h, a["hash"]) == i + 1))
+            return F.when(p["repeats"], _let(kept_ones, first)).otherwise(kept_ones)
+
+        return _let(_let(F.array_distinct(hashes), lambda d: F.struct(bound(d).alias("bound"), (F.size(d) < F.size(hashes)).alias("repeats"))), of)
+
+    def found(h):
+        syncmers = _let(_closed(h, k, s), lambda at: _let(F.transform(at, lambda i: _hash(h, i, k)), lambda hashes: choose(hashes, at)))
+        return F.when(F.size(h) < k, _whole(h)).otherwise(syncmers)
 
-    thinned = _let(anchors(text, k, s), choose)
-    ordered = _let(thinned, lambda x: F.array_sort(x))
-    first = _let(ordered, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["hash"] != x["hash"])))
-    least = F.slice(first, 1, kept)
-    places = F.array_sort(F.transform(least, lambda a: F.struct(a["at"].alias("at"), a["hash"].alias("hash"))))
-    return F.transform(places, lambda a: F.struct(a["hash"].alias("hash"), a["at"].alias("at")))
+    return F.when(_nothing(text), F.expr(f"cast(array() as array<{PLACE}>)")).otherwise(_let(_hashes(text), found))
 
 
 def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
     """Jaccard's index of two texts' anchors, from fingerprints: of the ``kept`` smallest hashes of either, the share in both."""
-    both = lambda x, y: F.slice(F.array_sort(F.array_union(x, y)), 1, kept)
+    both = lambda x, y: F.slice(F.sort_array(F.array_union(x, y)), 1, kept)
     return _let(
         F.struct(F.transform(a, lambda x: x["hash"]).alias("x"), F.transform(b, lambda x: x["hash"]).alias("y")),
         lambda p: F.when((F.size(p["x"]) == 0) & (F.size(p["y"]) == 0), F.lit(1.0))
@@ -95,9 +122,10 @@ def shown(f: Column) -> Column:
     return F.array_join(F.transform(f, lambda a: F.concat(F.lpad(F.lower(F.hex(a["hash"])), 16, "0"), F.lit("@"), a["at"].cast("string"))), ",")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], blocks: int | None = None) -> DataFrame:
-    """All columns of ``df`` and ``next_<c>`` of each of ``columns``: its value in the next row by key, the first row
-    coming after the last.
+def with_next(df: DataFrame, key: str, columns: list[str], made: dict[str, Column] | None = None, blocks: int | None = None) -> DataFrame:
+    """All columns of ``df``, those ``made`` of them, and ``next_<c>`` of each of ``columns`` and of those made: its
+    value in the next row by key, the first row coming after the last.  What is made is made once a row, after rows
+    have moved.
 
     Rows are dealt by ranges of the key (bounds from quantiles, as many as ``blocks``), each block with the first row
     of the next one, so no task sees all rows and rows move once.  Rows of one key are in order of their other columns'
@@ -108,8 +136,10 @@ def with_next(df: DataFrame, key: str, columns: list[str], blocks: int | None =
     bounds = df.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] or []
     rows = df.withColumns({"__block": _block(F.col(key), sorted(set(bounds))), "__tie": F.xxhash64(*df.columns)})
     firsts = rows.groupBy("__block").agg(F.min(F.struct(F.col(key).alias("k"), F.col("__tie").alias("t"))).alias("o")).orderBy("__block").collect()  # one row a block
+    made = made or {}
+    columns = [*columns, *made]
     if not firsts:
-        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return df.withColumns(made).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     kind = df.schema[key].dataType.simpleString()
     heads = spark.createDataFrame([(r["__block"], firsts[i - 1]["__block"], r.o.k, r.o.t, i == 0) for i, r in enumerate(firsts)], f"b int, to int, k {kind}, t bigint, turn boolean")
     head = (F.col("__block") == F.col("b")) & F.col(key).eqNullSafe(F.col("k")) & (F.col("__tie") == F.col("t"))
@@ -117,6 +147,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], blocks: int | None =
     # A block's own rows come before the copy that follows them, which has a larger key (or the turn).
     order = Window.partitionBy("__block").orderBy("__turn", F.col(key).asc_nulls_first(), F.desc("__own"), "__tie")
     dealt = rows.withColumns({"__own": F.lit(True), "__turn": F.lit(False)}).unionByName(copies)
+    dealt = dealt.repartition(partitions(spark), "__block").withColumns(made)
     dealt = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
     return dealt.where("__own").drop("__block", "__tie", "__own", "__turn")
 

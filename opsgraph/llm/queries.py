@@ -86,7 +86,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    rows = fingerprints.with_next(documents.withColumn("print", fingerprints.fingerprint(F.col("text"))), "doc_id", ["text", "print"])
+    rows = fingerprints.with_next(documents, "doc_id", ["text"], {"print": fingerprints.fingerprint(F.col("text"))})
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))

@@ -100,9 +100,14 @@ def test_syncmers_are_closed(spark):
     shifted = {(x["hash"], x["at"] + 7) for x in a.a}
     assert shifted <= {(x["hash"], x["at"]) for x in b.a}
     h = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
-    inner = [r[0] for r in spark.createDataFrame([(h[i], h[i + 1]) for i in range(299)], "a long, b long").select(F.xxhash64("a", "b")).collect()]
-    want = [i for i in range(296) if min(inner[i], inner[i + 3]) == min(inner[i : i + 4])]
+    want = [i for i in range(296) if min(h[i], h[i + 4]) == min(h[i : i + 5])]
     assert [x["at"] for x in a.a] == want
+    pairs = [r[0] for r in spark.createDataFrame([(h[i], h[i + 1]) for i in range(299)], "a long, b long").select(F.xxhash64("a", "b")).collect()]
+    wider = df.select(f.anchors(F.col("text"), 5, 2).alias("a")).first().a
+    assert [x["at"] for x in wider] == [i for i in range(296) if min(pairs[i], pairs[i + 3]) == min(pairs[i : i + 4])]
+    kept = df.select(f.fingerprint(F.col("text"), kept=8).alias("f")).first().f
+    best = sorted({x["hash"]: x["at"] for x in reversed(a.a)}.items())[:8]
+    assert sorted((x["hash"], x["at"]) for x in kept) == best
 
 
 def test_sharding(spark, tables):
