@@ -5,10 +5,10 @@ evaluations give 128 signature values.  Bands of four values (of smallest or of
 make 32 buckets a document: a pair at similarity 0.85 shares none of them with a probability below 1e-10.
 
 What is linked is decided on full shingle sets (64-bit hashes of five words each).  Texts of equal sets are one class
-and go through its smallest id, so thousands of copies cost one representative.  Within a bucket nobody meets
-everybody: rounds compare the members with one pivot, confirmed links are joined into components, and what already is
-in one component is not compared again.  At last the pairs left in buckets that still hold several components, not yet
-compared and alike enough by their bands, are compared one by one, so that no link is lost.
+and go through its smallest id, so thousands of copies cost one representative.  Within a bucket nobody meets everybody at
+first: members are compared with one pivot, and confirmed links are joined into components, which settles most buckets.
+Buckets that still hold several components are compared in blocks of bounded size, by a product of incidence matrices in
+numpy that yields links only (one for two components), so that no link is lost and no pairs are written out.
 
 Scale: shuffled are bands (32 hashes a representative), the texts of bucketed representatives once, and shingle sets
 of compared pairs.  Sums by class and by bucket are partial before a shuffle; the joins are plain equi-joins, which AQE
@@ -35,8 +35,10 @@ WORDS, PERMUTATIONS, ROWS = 5, 64, 4
 NUMERATOR, DENOMINATOR = 85, 100
 #: Bands that a pair must share to be compared on full sets; at similarity 0.85 some 17 of 32 are shared.
 LEAST_BANDS = 3
-#: Rounds in which the members of a bucket meet one pivot, before the rest are compared pair by pair.
-PIVOT_ROUNDS = 3
+#: Members of a bucket in one block of the comparison of what pivots leave, and shingles (columns) in one product.
+BLOCK, COLUMNS = 512, 4096
+#: Shingles are compared by 32 bits there; a pair that lacks so many is confirmed on the full sets all the same.
+SLACK = 2
 KEPT_WORDS = 500_000
 
 _random = np.random.Generator(np.random.PCG64(20240607))
@@ -124,10 +126,9 @@ def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of the ids in links ``x``, ``y``.
 
-    Large-star and small-star in turn until the edges stay as they are: a number of steps in the logarithm of the size.
+    Large-star and small-star in turn until all edges lead to roots: a number of steps in the logarithm of the size.
     """
     edges = materialise(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u > v").distinct(), "edges")
-    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -135,10 +136,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = materialise(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
-        state = now
+        ends = edges.select("u").distinct()
+        if ends.count() == edges.count() and edges.join(ends.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def _alike(m: Column, n: Column, numerator: int, denominator: int) -> Column:
@@ -156,6 +156,66 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, numerator: in
     return both.where(common * denominator >= (F.size("set_x") + F.size("set_y") - common) * numerator).select("x", "y")
 
 
+def linked_in_block(ids: np.ndarray, component: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Pairs of different components that are linked or nearly so, by position: of two components one pair that
+    certainly is, and all that are within the slack.  With two sides, only pairs across."""
+    k, sizes = len(tokens), np.array([len(t) for t in tokens], np.int64)
+    _, column, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(k), sizes)
+    shared = count[column] > 1  # what one text has alone is common to no pair
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+    common = np.zeros((k, k), np.float32)
+    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + COLUMNS, COLUMNS))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            part = np.zeros((k, COLUMNS), np.float32)
+            part[row[a:b], column[a:b] % COLUMNS] = 1
+            common += part @ part.T
+    # intersection * denominator >= (total - intersection) * numerator
+    lack = numerator * (sizes[:, None] + sizes[None, :]) - (numerator + denominator) * common.astype(np.int64)
+    able = (lack <= SLACK * (numerator + denominator)) & (component[:, None] != component[None, :]) & (ids[:, None] < ids[None, :])
+    if (side != side[0]).any():
+        able &= side[:, None] != side[None, :]
+    i, j = np.nonzero(able)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        pair = (min(component[x], component[y]), max(component[x], component[y]))
+        if lack[x, y] <= -SLACK * (numerator + denominator):
+            best[pair] = min(best.get(pair, (0, 0, 0)), (int(lack[x, y]), x, y))
+        else:
+            out.append((x, y))
+    return out + [(x, y) for _, x, y in best.values()]
+
+
+def _unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs ``x``, ``y`` to confirm, out of the buckets with several components."""
+    placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high").select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.select("id", "bucket", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("id", "bucket", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    narrow = sets.select("id", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("tokens"))
+    rows = rows.join(narrow, "id")
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def compare(group: pa.Table) -> pa.Table:
+        tokens, ids = group.column("tokens").combine_chunks(), group.column("id").combine_chunks()
+        flat, at = tokens.flatten().to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+        listed = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        order = np.argsort(np.array(ids.to_pylist()), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        _, component = np.unique(np.array(group.column("component").to_pylist()), return_inverse=True)
+        found = linked_in_block(rank, component, group.column("own").to_numpy(), listed, numerator, denominator) if len(ids) > 1 else []
+        return pa.table({"x": ids.take(pa.array([x for x, _ in found], pa.int64())), "y": ids.take(pa.array([y for _, y in found], pa.int64()))})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, f"x {kind}, y {kind}").distinct()
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` and ``kept``; one row for each row."""
     sketched = materialise(sketches(df, key, text), "sketches")
@@ -167,32 +227,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", nume
     bucketed = members.select("id").distinct()
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     sets = materialise(shingle_sets(texts.join(bucketed.hint("shuffle_hash"), "id")), "sets")
-    tried, links, labels = None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = members.withColumn("component", F.col("id"))
-        if labels is not None:
-            placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-        by = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(order.alias("o"), "id", "component", "n")).alias("p")).where("low < high")
-        if turn < PIVOT_ROUNDS:
-            met = placed.join(by.select("bucket", F.col("p.id").alias("other"), F.col("p.component").alias("other_component"), F.col("p.n").alias("other_n")), "bucket").where("component <> other_component")
-        else:
-            mixed = placed.join(by.select("bucket"), "bucket")
-            met = mixed.join(mixed.select("bucket", F.col("id").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("other_n")), "bucket").where("component < other_component")
-        met = met.where(_alike(F.col("n"), F.col("other_n"), numerator, denominator)).select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
-        if tried is not None:
-            met = met.join(tried, ["x", "y"], "left_anti")
-        met = materialise(met, "pairs")
-        if met.isEmpty():
-            if turn < PIVOT_ROUNDS:
-                continue
-            break
-        found = materialise(_confirmed(met, reps, sets, numerator, denominator), "links")
-        tried = met if tried is None else tried.unionByName(met)
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            labels = materialise(components(links), "components")
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    met = members.join(pivots, "bucket").where("id <> pivot").where(_alike(F.col("n"), F.col("pivot_n"), numerator, denominator)).select(F.col("pivot").alias("x"), F.col("id").alias("y")).distinct()
+    links = materialise(_confirmed(met, reps, sets, numerator, denominator), "links")
+    labels = materialise(components(links), "components")
+    left = materialise(_unsettled(members, labels, sets, numerator, denominator), "unsettled")
+    if not left.isEmpty():
+        labels = materialise(components(links.unionByName(_confirmed(left, reps, sets, numerator, denominator))), "components")
     out = sketched.join(reps.select("a", "b", F.col("n").alias("rep_n"), F.col("id").alias("rep")), ["a", "b"], "left").withColumn("rep", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("rep")))
-    if labels is not None:
-        out = out.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+    out = out.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("id") == F.col("rep"), F.col("rep").isNull()).alias("kept"))

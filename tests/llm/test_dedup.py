@@ -33,7 +33,9 @@ def near_copies():
 
 
 @pytest.mark.parametrize("which", ["hard", "near", "sf"])
-def test_near_duplicates(spark, sf_dir, which):
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_duplicates(spark, sf_dir, which, block, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     rows = brute.hard_documents() if which == "hard" else near_copies() if which == "near" else [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(table(spark, rows)).collect()}
     assert got == {d: (n, c, c == d) for d, (n, c) in brute.classes(rows).items()}
