@@ -32,7 +32,7 @@ from .shared import materialise, partitions
 #: Bytes of a repeated string and of an anchor.
 LENGTH, ANCHOR = 200, 32
 #: Different contexts of one anchor in one shard at most, before it is spread; contexts in a shard, about.
-SPREAD, SHARD = 512, 2048
+SPREAD, SHARD = 4096, 2048
 
 _random = np.random.Generator(np.random.PCG64(77))
 _BYTE = _random.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,7 +96,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
@@ -111,7 +111,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         suffix = order[open_places]
         # Of equal first h bytes, the rank of what follows decides.
         pair = (rank[suffix].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(suffix + h, n)] + 1).astype(np.uint64)
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         order[open_places], pair = suffix[by], pair[by]
         split = np.concatenate(([True], pair[1:] != pair[:-1]))
         new[open_places] = split
@@ -127,20 +127,28 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, lanes: np.ndarray, limi
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate((data.astype(np.int16), np.full(limit + 1, -1, np.int16)))
+    padded = np.concatenate((data.astype(np.int16), np.full(limit + 9, -1, np.int16)))
+    eight = np.zeros(n + 1, np.uint64)  # eight bytes from each place on
+    for k in range(8):
+        eight[:n] = (eight[:n] << np.uint64(8)) | np.maximum(padded[k : k + n], 0).astype(np.uint64)
     out = np.zeros(n, np.int64)
     ends = np.concatenate((lanes[1:], [n]))
     place, have = lanes.copy(), np.zeros(len(lanes), np.int64)
     while len(place):
         other = before[place]
-        live = np.flatnonzero(other >= 0)
         have[other < 0] = 0
-        while len(live):
-            i, j, h = place[live], other[live], have[live]
-            # Suffixes differ at the end of the text at the latest, there one is padding.
-            more = (h < limit) & (np.maximum(i, j) + h < n) & (padded[np.minimum(i + h, n)] == padded[np.minimum(j + h, n)])
-            live = live[more]
-            have[live] += 1
+        for step in (8, 1):
+            live = np.flatnonzero((other >= 0) & (have < limit))
+            while len(live):
+                i, j, h = place[live], other[live], have[live]
+                # Suffixes differ at the end of the text at the latest.
+                more = np.maximum(i, j) + h + step <= n
+                i, j = np.minimum(i + h, n), np.minimum(j + h, n)
+                more &= eight[i] == eight[j] if step == 8 else padded[i] == padded[j]
+                live = live[more]
+                have[live] += step
+                live = live[have[live] < limit]
+        np.minimum(have, limit, out=have)
         out[place] = have
         have = np.maximum(have - 1, 0)
         place = place + 1

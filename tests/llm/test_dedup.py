@@ -51,7 +51,7 @@ def test_components_of_a_long_chain(spark):
 
 
 @pytest.mark.parametrize("which", ["hard", "near", "sf"])
-@pytest.mark.parametrize("spread", [3, 512])
+@pytest.mark.parametrize("spread", [3, 4096])
 def test_repeats(spark, sf_dir, which, spread, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SPREAD", spread)
     rows = brute.hard_documents() if which == "hard" else near_copies() if which == "near" else [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
