@@ -39,7 +39,7 @@ LEAST_BANDS = 3
 BLOCK, COLUMNS = 512, 4096
 #: Shingles are compared by 32 bits there; a pair that lacks so many is confirmed on the full sets all the same.
 SLACK = 2
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 _random = np.random.Generator(np.random.PCG64(20240607))
 _ODD = _random.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)

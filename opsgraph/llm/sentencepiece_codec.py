@@ -29,7 +29,7 @@ from .shared import column_map
 
 MARK = "▁"
 #: Units kept by a worker; those that come later are encoded each time.
-KEPT_UNITS, KEPT_PAIRS, KEPT_LENGTH = 900_000, 500_000, 48
+KEPT_UNITS, KEPT_PAIRS, KEPT_LENGTH = 400_000, 300_000, 48
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
