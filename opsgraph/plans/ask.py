@@ -58,7 +58,7 @@ def global_chunks(corpus: Corpus, question: str, most: int = 4) -> list[dict]:
     return [r.asDict() for r in scored.orderBy(F.desc("fit"), "id").limit(most).collect()]
 
 
-def ask(corpus: Corpus, question: str, baseline: bool = False, graph_only: bool = False, seeds: list[str] | None = None, k: int = 8) -> Answer:
+def ask(corpus: Corpus, question: str, baseline: bool = False, graph_only: bool = False, seeds: list[str] | None = None, k: int = 8, steps: int = 20) -> Answer:
     """``baseline`` is lookup only; ``graph_only`` is multihop unless the router says global; given ``seeds`` (a tag read
     from a photo) it is multihop from them."""
     spark = corpus.nodes.sparkSession
@@ -71,7 +71,7 @@ def ask(corpus: Corpus, question: str, baseline: bool = False, graph_only: bool
     path, related, found = [], [], []
     if mode == "multihop":
         given = seeds or linked
-        chunks, entities = qa.multihop(question, corpus.nodes, corpus.edges, corpus.chunks, hits, given, k)
+        chunks, entities = qa.multihop(question, corpus.nodes, corpus.edges, corpus.chunks, hits, given, k, steps)
         related = [r.key for r in entities.orderBy(F.desc("score"), "key").collect() if r.key not in given]
         for target in related[:3]:
             for seed in given:

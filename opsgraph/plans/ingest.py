@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import extract as E
 from ..operators import graph as G
 from ..operators import resolve as M
+from ..operators.rank import checkpointed
 
 STEP = 1_000_000
 
@@ -29,8 +30,9 @@ def prose(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame,
     Each entity is mentioned by its best chunk and extracted from its document."""
     chunks = index_chunks(documents)
     text = F.array_join(F.filter("pages", lambda p: F.trim(p) != ""), "\n")
-    found, links = E.extract(documents.select("doc_id", "doc_type", text.alias("text")))
-    resolved, edges = M.resolve(found, links, nodes.select("key", "ord"))
+    # Extraction and resolution are each used several times: kept, so that texts are read once and plans stay small.
+    found, links = map(checkpointed, E.extract(documents.select("doc_id", "doc_type", text.alias("text"))))
+    resolved, edges = map(checkpointed, M.resolve(found, links, nodes.select("key", "ord")))
     place = documents.select("doc_id", (F.col("pos").cast("long") * STEP).alias("base"))
     p = lambda k: F.nullif(F.try_element_at("props", F.lit(k)), F.lit(""))
     tokens = resolved.select("doc_id", "key", F.coalesce(p("tag"), p("clause_no"), p("sop_id"), p("incident_id"), p("code"), F.lit("")).alias("token"))

@@ -54,10 +54,10 @@ def precursor_alerts(events: DataFrame, links: dict[str, str], window: str = "30
     state to windows that late events can still reach.
     """
     announces = F.create_map(*[F.lit(x) for effect, cause in links.items() for x in (cause, effect)])
-    tagged = events.withWatermark("ts", late).withColumn("announces", F.try_element_at(announces, F.col("code"))).where("announces is not null")
+    tagged = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("announces", F.try_element_at(announces, F.col("code"))).where("announces is not null")
     return tagged.groupBy(F.window("ts", window), "asset", "announces").agg(F.count("*").alias("signals"), F.max("ts").alias("latest"))
 
 
 def event_rates(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events by window and type."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

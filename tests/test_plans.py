@@ -1,37 +1,6 @@
 from pyspark.sql import functions as F
-from test_analytics import INCIDENT, RULES, SOP, mini
-from test_graph import edges, nodes
 
 from opsgraph.functions.register import register
-from opsgraph.operators import rank
-from opsgraph.plans import ask as A
-from opsgraph.plans import ingest
-
-
-def test_ask(spark):
-    n, e, chunks = mini(spark)
-    groups = rank.describe(spark.createDataFrame([("a", "Equipment", "P-101A"), ("a", "FailureMode", "VIB"), ("b", "Procedure", "SOP-17")], "community string, type string, label string"))
-    assert [(r.id, r["size"], r.summary) for r in groups.orderBy("id").collect()] == [(1, 2, "Equipment: P-101A; FailureMode: VIB"), (2, 1, "Procedure: SOP-17")]
-    corpus = A.Corpus(n, e, chunks, groups)
-    got = A.ask(corpus, "Which procedure governs pump P-101A and why", k=3)
-    assert got.mode == "multihop" and got.seeds == ["Equipment:P-101A"] and got.path and got.citations and "Graph path" in got.text
-    assert A.ask(corpus, "Weather of tomorrow somewhere").mode == "refusal"
-    assert A.ask(corpus, "Most common failures of VIB overall").mode == "global"
-    assert A.ask(corpus, "pump P-101A seal", baseline=True).mode == "lookup"
-    assert A.ask(corpus, "what is this", seeds=["Equipment:P-101A"], k=3).mode == "multihop"
-
-
-def test_ingest(spark):
-    docs = spark.createDataFrame([(0, "D1", "sop", [SOP]), (1, "D2", "regulatory", [RULES, ""]), (2, "D3", "incident", [INCIDENT])], "pos int, doc_id string, doc_type string, pages array<string>")
-    n, e, counts, chunks = ingest.add_prose(nodes(spark, []), edges(spark, []), docs)
-    keys = {r.key for r in n.collect()}
-    assert {"Document:D1", "Procedure:SOP-17", "Equipment:P-101A", "RegulatoryClause:OISD-STD-105:7.3", "Incident:INC-2022-014", "Chunk:D1::p1::c0"} <= keys
-    links = {(r.source, r.type, r.target) for r in e.collect()}
-    assert {("Procedure:SOP-17", "GOVERNS", "Equipment:P-101A"), ("Chunk:D3::p1::c0", "MENTIONS", "Incident:INC-2022-014"), ("Incident:INC-2022-014", "EXTRACTED_FROM", "Document:D3"), ("RegulatoryClause:OISD-STD-105:6.2", "COVERS", "Equipment:V-12")} <= links
-    c = counts.first()
-    assert c.edges_added == len(links) and c.nodes_added == len(keys) and chunks.count() == 3
-    again = ingest.add_prose(n, e, docs)
-    assert tuple(again[2].first()) == (0, 0)
 
 
 def test_sql_functions(spark):
