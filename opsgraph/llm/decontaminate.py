@@ -1,8 +1,9 @@
 """Benchmark decontamination: a BM25 index of the test items, asked by every training passage with block-max WAND.
 
 The index is of the test items (small, and in blocks of a checked size), so each block travels to the executors and
-the training texts stay where they are: no shuffle.  A text is cut into overlapping passages of whole words; a passage
-is a query of its distinct words.  Scores are BM25 as a share of what the item scores against itself, so that one
+the training texts stay where they are: no shuffle.  A text is cut into overlapping passages of whole words, once for
+each length class of items, so that a copy as long as its item lies in one passage; a passage is a query of its
+distinct words, for the items of its class.  Scores are BM25 as a share of what the item scores against itself, so that one
 threshold fits short and long items.  What scores at least the threshold is retrieved, all of it, and then checked: the
 item's question and answer must both overlap with the text around the passage.
 
@@ -32,8 +33,9 @@ from pyspark.sql import types as T
 from .shared import column_map, text_of
 
 K1, B = 1.2, 0.75
-#: Words of a passage, and from one passage's start to the next one's.
-WINDOW, STRIDE = 96, 48
+#: Words from one passage's start to the next one's in the class of the shortest items; each further class has twice as
+#: many.  A class holds items of at most a stride's words, and its passages have two strides, so one holds all of a copy.
+STRIDE = 48
 #: Share of an item's own score that retrieves it, words of a gram, and share of grams of question and of answer.
 THRESHOLD, GRAM, OVERLAP = 0.5, 3, 0.5
 POSTING_BLOCK = 16
@@ -58,6 +60,14 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return all_words[:cut], all_words[cut:]
 
 
+def stride_of(length: int) -> int:
+    """The stride of the class of items of so many words."""
+    stride = STRIDE
+    while stride < length:
+        stride *= 2
+    return stride
+
+
 def grams(listed: list[bytes], n: int = GRAM) -> set[tuple[bytes, ...]]:
     """Distinct n-grams; of fewer words, the whole sequence."""
     return {tuple(listed[i : i + n]) for i in range(max(1, len(listed) - n + 1))} if listed else set()
@@ -77,7 +87,9 @@ class BenchmarkIndex:
         self.terms = {w: k for k, w in enumerate(sorted(df))}
         mean = sum(sum(c.values()) for c in listed) / max(1, n)
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        rare_postings: list[tuple[int, int, float]] = []
+        #: Of each item the stride of its class; the words to sum up are listed by class.
+        self.strides = [stride_of(sum(c.values())) for c in listed]
+        rare_postings: dict[int, list[tuple[int, int, float]]] = {stride: [] for stride in sorted(set(self.strides))}
         self.needed = np.zeros(n)
         common = {w for w, d in df.items() if d > max(2, 0.05 * n)}
         for k, c in enumerate(listed):
@@ -91,26 +103,28 @@ class BenchmarkIndex:
             for w, v in share.items():
                 postings[self.terms[w]].append((k, v))
                 if w not in loose:
-                    rare_postings.append((self.terms[w], k, v))
+                    rare_postings[self.strides[k]].append((self.terms[w], k, v))
         #: Of each term: items in order, scores, best score, last item and best score of each block.
         self.postings = {}
         for t, listed_items in postings.items():
             at, score = [k for k, _ in listed_items], [v for _, v in listed_items]
             blocks = [(at[min(i + POSTING_BLOCK, len(at)) - 1], max(score[i : i + POSTING_BLOCK])) for i in range(0, len(at), POSTING_BLOCK)]
             self.postings[t] = (at, score, max(score), [b for b, _ in blocks], [v for _, v in blocks])
-        rare_postings.sort()
-        self._rare_item = np.array([k for _, k, _ in rare_postings], np.int64)
-        self._rare_score = np.array([v for _, _, v in rare_postings])
-        self._rare_from = np.searchsorted(np.array([t for t, _, _ in rare_postings], np.int64), np.arange(len(self.terms) + 1))
-
-    def promising(self, passage: np.ndarray, term: np.ndarray, passages: int) -> np.ndarray:
-        """Passages that could reach the threshold for some item; the pairs of passage and term are distinct."""
+        self._rare = {}
+        for stride, triples in rare_postings.items():
+            triples.sort()
+            first = np.searchsorted(np.array([t for t, _, _ in triples], np.int64), np.arange(len(self.terms) + 1))
+            self._rare[stride] = (np.array([k for _, k, _ in triples], np.int64), np.array([v for _, _, v in triples]), first)
+
+    def promising(self, passage: np.ndarray, term: np.ndarray, stride: int) -> np.ndarray:
+        """Passages that could reach the threshold for some item of the class; the pairs of passage and term are distinct."""
         n = len(self.ids)
-        first, size = self._rare_from[term], self._rare_from[term + 1] - self._rare_from[term]
+        rare_item, rare_score, rare_from = self._rare[stride]
+        first, size = rare_from[term], rare_from[term + 1] - rare_from[term]
         where = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        key = np.repeat(passage, size) * n + self._rare_item[where]
+        key = np.repeat(passage, size) * n + rare_item[where]
         keys, at = np.unique(key, return_inverse=True)
-        score = np.bincount(at, self._rare_score[where], len(keys))
+        score = np.bincount(at, rare_score[where], len(keys))
         return np.unique(keys[score >= self.needed[keys % n]] // n)
 
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
@@ -151,8 +165,17 @@ class BenchmarkIndex:
             if score >= threshold - 1e-9:
                 out.append((item, score))
 
+    def _passages(self, at: np.ndarray, term: np.ndarray, length: int, stride: int):
+        """Promising passages of a class, each with its distinct terms, in a text with those terms at those places."""
+        v, count = len(self.terms), max(1, -(-(length - 2 * stride) // stride) + 1)
+        half = at // stride  # a word is in the passage that starts in its stride and in the one before
+        pairs = np.unique(np.concatenate([((half - back) * v + term)[(half - back >= 0) & (half - back < count)] for back in (0, 1)]))
+        for passage in self.promising(pairs // v, pairs % v, stride).tolist():
+            low, high = np.searchsorted(pairs, [passage * v, (passage + 1) * v])
+            yield passage, (pairs[low:high] % v).tolist()
+
     def matches(self, text: str | None) -> list[dict]:
-        """Items found in a text and confirmed, by item id."""
+        """Items found in a text and confirmed, by item id; a passage is numbered by the stride of its item's class."""
         listed = words(text)
         if not listed or not self.ids:
             return []
@@ -160,19 +183,16 @@ class BenchmarkIndex:
         at = np.flatnonzero(term >= 0)
         if not len(at):
             return []
-        v, count = len(self.terms), max(1, -(-(len(listed) - WINDOW) // STRIDE) + 1)
-        half = at // STRIDE  # a word is in the passages that start in its stride and in the ones before, as far as the window
-        keys = [(half - back) * v + term[at] for back in range(-(-WINDOW // STRIDE))]
-        pairs = np.unique(np.concatenate([k[(half - back >= 0) & (half - back < count)] for back, k in enumerate(keys)]))
         best: dict[int, tuple[float, int]] = {}
-        for passage in self.promising(pairs // v, pairs % v, count).tolist():
-            low, high = np.searchsorted(pairs, [passage * v, (passage + 1) * v])
-            for item, score in self.search((pairs[low:high] % v).tolist()):
-                if score > best.get(item, (0, 0))[0]:
-                    best[item] = (score, passage)
+        for stride in self._rare:
+            for passage, terms in self._passages(at, term[at], len(listed), stride):
+                for item, score in self.search(terms):
+                    if self.strides[item] == stride and score > best.get(item, (0, 0))[0]:
+                        best[item] = (score, passage)
         out = []
         for item, (score, passage) in sorted(best.items()):
-            around = grams(listed[max(0, (passage - 2) * STRIDE) : passage * STRIDE + WINDOW + 2 * STRIDE])
+            stride = self.strides[item]
+            around = grams(listed[max(0, (passage - 2) * stride) : (passage + 4) * stride])
             question, answer = self.parts[item]
             q = len(question & around) / len(question) if question else 1.0
             a = len(answer & around) / len(answer) if answer else 1.0

@@ -193,3 +193,16 @@ def test_empty_and_odd_tables(spark, tmp_path, name):
         spark.createDataFrame([(1, "same words here again")], "item_id long, text string").write.parquet(f"{tmp_path}/{k}/benchmark.parquet")
         got = queries.QUERIES[name](spark, f"{tmp_path}/{k}").collect()
         assert len(got) == (len(rows) if name != "op10_decontamination" else 0)
+
+
+@pytest.mark.parametrize("length", [49, 97, 200, 400, 1500])
+def test_long_items_are_found(length):
+    """A verbatim copy, wherever it stands and however long its item is."""
+    from opsgraph.llm.decontaminate import BenchmarkIndex
+
+    item = " ".join(f"w{i}" for i in range(length - 8)) + ". " + " ".join(f"a{i}" for i in range(8))
+    index = BenchmarkIndex([(1, item), (2, "short item of seven words. its answer here")])
+    for before in (0, 31, 50, 700):
+        found = index.matches("x " * before + item + " y" * 900)
+        assert [(m["item_id"], m["score"], m["question"], m["answer"]) for m in found] == [(1, 1.0, 1.0, 1.0)]
+    assert index.matches(" ".join(f"w{i}" for i in range(length // 3)) + " y" * 900) == []
