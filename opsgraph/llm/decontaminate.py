@@ -5,7 +5,8 @@ the training texts stay where they are: no shuffle.  A text is cut into overlapp
 each length class of items, so that a copy as long as its item lies in one passage; a passage is a query of its
 distinct words, for the items of its class.  Scores are BM25 as a share of what the item scores against itself, so that one
 threshold fits short and long items.  What scores at least the threshold is retrieved, all of it, and then checked: the
-item's question and answer must both overlap with the text around the passage.
+item's question and answer must both overlap with the text around the passage.  An item is reported with the best of
+its passages that pass, whatever passages score more and don't.
 
 Two steps keep it cheap and lose nothing.  The words that most items have are worth little; from an item's whole share
 of such words follows how much its other words must score, so passages without that much are left out in numpy before
@@ -183,21 +184,22 @@ class BenchmarkIndex:
         at = np.flatnonzero(term >= 0)
         if not len(at):
             return []
-        best: dict[int, tuple[float, int]] = {}
+        retrieved: dict[int, list[tuple[float, int]]] = defaultdict(list)
         for stride in self._rare:
             for passage, terms in self._passages(at, term[at], len(listed), stride):
                 for item, score in self.search(terms):
-                    if self.strides[item] == stride and score > best.get(item, (0, 0))[0]:
-                        best[item] = (score, passage)
+                    if self.strides[item] == stride:
+                        retrieved[item].append((-score, passage))
         out = []
-        for item, (score, passage) in sorted(best.items()):
-            stride = self.strides[item]
-            around = grams(listed[max(0, (passage - 2) * stride) : (passage + 4) * stride])
-            question, answer = self.parts[item]
-            q = len(question & around) / len(question) if question else 1.0
-            a = len(answer & around) / len(answer) if answer else 1.0
-            if q >= OVERLAP and a >= OVERLAP:
-                out.append({"item_id": self.ids[item], "score": round(min(1.0, float(score)), 6), "question": round(q, 6), "answer": round(a, 6), "passage": passage})
+        for item, found in sorted(retrieved.items()):
+            stride, (question, answer) = self.strides[item], self.parts[item]
+            for minus_score, passage in sorted(found):  # best first; the first that passes is reported
+                around = grams(listed[max(0, (passage - 2) * stride) : (passage + 4) * stride])
+                q = len(question & around) / len(question) if question else 1.0
+                a = len(answer & around) / len(answer) if answer else 1.0
+                if q >= OVERLAP and a >= OVERLAP:
+                    out.append({"item_id": self.ids[item], "score": round(min(1.0, -float(minus_score)), 6), "question": round(q, 6), "answer": round(a, 6), "passage": passage})
+                    break
         return out
 
 

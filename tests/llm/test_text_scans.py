@@ -206,3 +206,17 @@ def test_long_items_are_found(length):
         found = index.matches("x " * before + item + " y" * 900)
         assert [(m["item_id"], m["score"], m["question"], m["answer"]) for m in found] == [(1, 1.0, 1.0, 1.0)]
     assert index.matches(" ".join(f"w{i}" for i in range(length // 3)) + " y" * 900) == []
+
+
+def test_a_decoy_does_not_hide_a_copy():
+    """A passage of the item's words in other order scores most and fails; an edited copy elsewhere passes."""
+    from opsgraph.llm.decontaminate import BenchmarkIndex
+
+    words = [f"w{i}" for i in range(30)]
+    item = " ".join(words[:22]) + ". " + " ".join(words[22:])
+    index = BenchmarkIndex([(1, item), (2, "another item of some words. and its answer")])
+    decoy, copy = " ".join(words[::2] + words[1::2]), item.replace("w5 ", "v ").replace("w13 ", "v ")
+    assert index.matches(decoy) == []
+    for text in (decoy + " y" * 400 + " " + copy, copy + " y" * 400 + " " + decoy):
+        assert [m["item_id"] for m in index.matches(text)] == [1]
+        assert index.matches(text)[0]["score"] < 1
