@@ -1,7 +1,7 @@
 """Benchmark decontamination: a BM25 index of the test items, asked by every training passage with block-max WAND.
 
 The index is of the test items (small, and in blocks of a checked size), so each block travels to the executors and
-the training texts stay where they are: no shuffle.  A text is cut into overlapping passages of whole words, once for
+the training texts stay where they are: no shuffle.  Counts and lengths that scores depend on are of all blocks.  A text is cut into overlapping passages of whole words, once for
 each length class of items, so that a copy as long as its item lies in one passage; a passage is a query of its
 distinct words, for the items of its class.  Scores are BM25 as a share of what the item scores against itself, so that one
 threshold fits short and long items.  What scores at least the threshold is retrieved, all of it, and then checked: the
@@ -13,7 +13,7 @@ of such words follows how much its other words must score, so passages without t
 any search.  The others go through block-max WAND: cursors in item order, a pivot where the terms' best scores could
 reach the threshold, and a jump past the block where the blocks' best scores can't.
 
-Null and empty texts, and items without words, match nothing.
+Null and empty texts, and items without words, match nothing; an item with a null id is one like the others.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import re
 import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -74,25 +75,39 @@ def grams(listed: list[bytes], n: int = GRAM) -> set[tuple[bytes, ...]]:
     return {tuple(listed[i : i + n]) for i in range(max(1, len(listed) - n + 1))} if listed else set()
 
 
+class Statistics:
+    """Of items with words: how many have a word, how many there are, and their words in all."""
+
+    def __init__(self, items: list[tuple[int | None, str]] = ()):
+        self.df, self.items, self.words = Counter(), 0, 0
+        self.add(items)
+
+    def add(self, items: list[tuple[int | None, str]]) -> None:
+        for _, t in items:
+            if listed := words(t):
+                self.df.update(set(listed))
+                self.items += 1
+                self.words += len(listed)
+
+
 class BenchmarkIndex:
-    """Postings with block maxima of items given as (id, text)."""
+    """Postings with block maxima of items given as (id, text); of a part of the items, with the statistics of all."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        items = sorted((i, t) for i, t in items if i is not None and words(t))
+    def __init__(self, items: list[tuple[int | None, str]], statistics: Statistics | None = None):
+        items = sorted(((i, t) for i, t in items if words(t)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        statistics = statistics or Statistics(items)
         self.ids = [i for i, _ in items]
         parts = [question_and_answer(t) for _, t in items]
         self.parts = [(grams(q), grams(a)) for q, a in parts]
         listed = [Counter(words(t)) for _, t in items]
-        n = len(items)
-        df = Counter(w for c in listed for w in c)
-        self.terms = {w: k for k, w in enumerate(sorted(df))}
-        mean = sum(sum(c.values()) for c in listed) / max(1, n)
+        df, n, mean = statistics.df, statistics.items, statistics.words / max(1, statistics.items)
+        self.terms = {w: k for k, w in enumerate(sorted({w for c in listed for w in c}))}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         #: Of each item the stride of its class; the words to sum up are listed by class.
         self.strides = [stride_of(sum(c.values())) for c in listed]
         rare_postings: dict[int, list[tuple[int, int, float]]] = {stride: [] for stride in sorted(set(self.strides))}
-        self.needed = np.zeros(n)
-        common = {w for w, d in df.items() if d > max(2, 0.05 * n)}
+        self.needed = np.zeros(len(items))
+        common = {w for w in self.terms if df[w] > max(2, 0.05 * n)}
         for k, c in enumerate(listed):
             size = sum(c.values())
             raw = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for w, f in c.items()}
@@ -206,13 +221,13 @@ class BenchmarkIndex:
 MATCH = "struct<item_id:bigint,score:double,question:double,answer:double,passage:int>"
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
     """The test items in blocks of at most about ``INDEX_BYTES``; one block is on the driver at a time in use."""
     items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), text_of(text).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = 1 + total // INDEX_BYTES
     for k in range(blocks):
-        yield [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]
+        yield [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()]
 
 
 def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -223,9 +238,11 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", keep
         raise ValueError("the column matches is made here")
     match = T.StructType.fromDDL(f"x array<{MATCH}>")[0]
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField("matches", match.dataType)])
-    spark, out = df.sparkSession, None
+    spark, out, statistics = df.sparkSession, None, Statistics()
+    for items in item_blocks(benchmark, item_id, item_text):
+        statistics.add(items)
     for items in item_blocks(benchmark, item_id, item_text):
-        sent = spark.sparkContext.broadcast(pickle.dumps(BenchmarkIndex(items)))
+        sent = spark.sparkContext.broadcast(pickle.dumps(BenchmarkIndex(items, statistics)))
         before = [] if out is None else ["__before"]
         now = T.StructType([*schema] + ([T.StructField("__before", match.dataType), T.StructField("__text", T.StringType())] if out is not None else [T.StructField("__text", T.StringType())]))
         source = df.select(*keep, F.col(text).alias("__text")) if out is None else out.withColumnRenamed("matches", "__before")

@@ -220,3 +220,17 @@ def test_a_decoy_does_not_hide_a_copy():
     for text in (decoy + " y" * 400 + " " + copy, copy + " y" * 400 + " " + decoy):
         assert [m["item_id"] for m in index.matches(text)] == [1]
         assert index.matches(text)[0]["score"] < 1
+
+
+def test_blocks_of_a_benchmark_score_as_one(spark, sf_dir, monkeypatch):
+    """Matches don't depend on how many blocks the items are cut into, and an item with a null id is found."""
+    from opsgraph.llm import decontaminate
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()] + [(None, "who asks about nameless items here. nobody has an answer to that")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    documents = spark.createDataFrame([(k, f"some text before {t} and after") for k, (_, t) in enumerate(items)], "doc_id long, text string")
+    found = lambda: {r.doc_id: sorted((m.item_id is None, m.item_id or 0, m.score) for m in r.matches) for r in decontaminate.find_benchmark(documents, benchmark).collect()}
+    one = found()
+    assert (True, 0, 1.0) in one[len(items) - 1] and sum(map(len, one.values())) > len(items) / 2
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", sum(len(t) for _, t in items) // 4)
+    assert found() == one
