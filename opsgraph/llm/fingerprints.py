@@ -3,9 +3,8 @@
 A k-mer of words is an anchor when the smallest of its inner runs of s words (by hash; single words here) is the first
 or the last one.
 That depends on the k-mer alone, so a passage has the same anchors wherever it stands, and an edit moves no anchor
-outside its own k words.  The fingerprint keeps the anchors with the smallest hashes, each with its place, in order of
-place; two fingerprints are compared by the share of anchors in common, and the places of common anchors give the
-passages that match.
+outside its own k words.  The fingerprint is all anchors, each with its place, in order of place; two fingerprints are
+compared by the share of distinct anchors in common, and the places of common anchors give the passages that match.
 
 DataFrame functions only, within the row.  Words are runs between white space of the text as it is.  A text of fewer
 than k words has one anchor, of all its words; an empty or null text has the empty fingerprint.  Equal texts have
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .shared import partitions, text_of
 
-#: Words of a k-mer and of an inner run, and anchors kept.
-K, S, KEPT = 5, 1, 64
+#: Words of a k-mer and of an inner run.
+K, S = 5, 1
 SPACE = " \t\n\x0b\x0c\r"
 PLACE = "struct<hash:bigint,at:int>"
 
@@ -73,12 +72,16 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return F.when(_nothing(text), F.expr(f"cast(array() as array<{PLACE}>)")).otherwise(found)
 
 
-def fingerprint(text: Column, k: int = K, s: int = S, kept: int = KEPT) -> Column:
-    """Array of (hash, at): the ``kept`` distinct anchors with the smallest hashes (the first place of each), by place.
+def fingerprint(text: Column, k: int = K, s: int = S, kept: int | None = None) -> Column:
+    """Array of (hash, at): all anchors; with ``kept``, so many distinct ones with the smallest hashes (the first place
+    of each), by place, for callers that need a bounded sketch.
 
     The largest hash to keep is found among those below a guess from their number, some half more than are kept; where
     the guess is too low, among all.
     """
+    if kept is None:
+        return anchors(text, k, s)
+
     def bound(distinct):
         near = (F.lit(float(-(2**63))) + F.lit(float(2**64)) * (1.5 * kept + 24) / F.size(distinct)).cast("long")
         last = lambda x: F.get(F.sort_array(x), F.lit(kept - 1))
@@ -100,21 +103,33 @@ def fingerprint(text: Column, k: int = K, s: int = S, kept: int = KEPT) -> Colum
     return F.when(_nothing(text), F.expr(f"cast(array() as array<{PLACE}>)")).otherwise(_let(_hashes(text), found))
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """Jaccard's index of two texts' anchors, from fingerprints: of the ``kept`` smallest hashes of either, the share in both."""
-    both = lambda x, y: F.slice(F.sort_array(F.array_union(x, y)), 1, kept)
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard's index of two texts' distinct anchors."""
     return _let(
         F.struct(F.transform(a, lambda x: x["hash"]).alias("x"), F.transform(b, lambda x: x["hash"]).alias("y")),
         lambda p: F.when((F.size(p["x"]) == 0) & (F.size(p["y"]) == 0), F.lit(1.0))
         .when((F.size(p["x"]) == 0) | (F.size(p["y"]) == 0), F.lit(0.0))
-        .otherwise(_let(both(p["x"], p["y"]), lambda u: F.size(F.array_intersect(F.array_intersect(p["x"], u), p["y"])) / F.size(u))),
+        .otherwise(F.size(F.array_intersect(p["x"], p["y"])) / F.size(F.array_union(p["x"], p["y"]))),
     )
 
 
+def _first_place(listed: Column, h: Column) -> Column:
+    """The first place of a hash in anchors in order of (hash, at), null where it isn't: a binary search."""
+    powers = F.array(*[F.lit(1 << i) for i in range(26, -1, -1)])
+    less = F.aggregate(powers, F.lit(0), lambda n, p: F.when((n <= F.size(listed) - p) & (F.get(listed, n + p - 1)["hash"] < h), n + p).otherwise(n))
+    return _let(less, lambda i: F.when(F.get(listed, i)["hash"] == h, F.get(listed, i)["at"]))
+
+
 def matched(a: Column, b: Column) -> Column:
-    """Array of (at_a, at_b): places of the anchors that two fingerprints have in common, by place in the first."""
-    return _let(F.map_from_entries(F.transform(b, lambda x: F.struct(x["hash"], x["at"]))), lambda m: F.filter(
-        F.transform(a, lambda x: F.struct(x["at"].alias("at_a"), F.try_element_at(m, x["hash"]).alias("at_b"))), lambda x: x["at_b"].isNotNull()))
+    """Array of (at_a, at_b), in order: every place of the anchors that two fingerprints have in common, each with the
+    first place of its anchor in the other, so repeated anchors don't make pairs with the square of their number."""
+    def joined(p):
+        of_a = F.transform(a, lambda x: F.struct(x["at"].alias("at_a"), _first_place(p["b"], x["hash"]).alias("at_b")))
+        later_b = F.filter(b, lambda y: _first_place(p["b"], y["hash"]) != y["at"])  # the first ones are in pairs of a
+        of_b = F.transform(later_b, lambda y: F.struct(_first_place(p["a"], y["hash"]).alias("at_a"), y["at"].alias("at_b")))
+        return F.array_sort(F.concat(F.filter(of_a, lambda x: x["at_b"].isNotNull()), F.filter(of_b, lambda x: x["at_a"].isNotNull())))
+
+    return _let(F.struct(F.array_sort(a).alias("a"), F.array_sort(b).alias("b")), joined)
 
 
 def shown(f: Column) -> Column:

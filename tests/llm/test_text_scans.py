@@ -234,3 +234,24 @@ def test_blocks_of_a_benchmark_score_as_one(spark, sf_dir, monkeypatch):
     assert (True, 0, 1.0) in one[len(items) - 1] and sum(map(len, one.values())) > len(items) / 2
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", sum(len(t) for _, t in items) // 4)
     assert found() == one
+
+
+def test_fingerprints_are_whole(spark):
+    """A long text's fingerprint has all its anchors; a shared passage is found at its place, likeness is exact."""
+    import random
+
+    from opsgraph.llm import fingerprints as f
+
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(50)]
+    a, b = ([f"{side}{r.randrange(5000)}" for _ in range(6000)] for side in "ab")
+    a, b = a[:2000] + passage + a[2000:] + ["same"] * 40, b[:4500] + passage + b[4500:] + ["same"] * 60
+    df = spark.createDataFrame([(" ".join(a), " ".join(b))], "a string, b string").select(*[f.fingerprint(F.col(c)).alias(c) for c in "ab"], *[f.anchors(F.col(c)).alias(f"all_{c}") for c in "ab"])
+    got = df.select("*", f.matched(F.col("a"), F.col("b")).alias("m"), f.likeness(F.col("a"), F.col("b")).alias("l")).first()
+    assert got.a == got.all_a and got.b == got.all_b and len(got.a) > 2000
+    at = lambda listed: {h: [x["at"] for x in listed if x["hash"] == h] for h in {x["hash"] for x in listed}}
+    x, y = at(got.a), at(got.b)
+    assert got.l == len(set(x) & set(y)) / len(set(x) | set(y))
+    assert [tuple(m) for m in got.m] == sorted({(i, y[h][0]) for h in set(x) & set(y) for i in x[h]} | {(x[h][0], j) for h in set(x) & set(y) for j in y[h]})
+    within = [m for m in got.m if 2000 <= m["at_a"] <= 2045]
+    assert len(within) >= 10 and all(m["at_b"] - m["at_a"] == 2500 for m in within)
