@@ -6,8 +6,8 @@ That depends on the k-mer alone, so a passage has the same anchors wherever it s
 outside its own k words.  The fingerprint is all anchors, each with its place, in order of place; two fingerprints are
 compared by the share of distinct anchors in common, and the places of common anchors give the passages that match.
 
-DataFrame functions only, within the row.  Words are runs between white space of the text as it is.  A text of fewer
-than k words has one anchor, of all its words; an empty or null text has the empty fingerprint.  Equal texts have
+DataFrame functions only, within the row.  Words are runs between white space of the text as it is.  A text without
+closed syncmers (of fewer than k words, or of few more) has one anchor, of all its words; an empty or null text has the empty fingerprint.  Equal texts have
 equal fingerprints; two empty ones have likeness 1, an empty and another one 0.
 """
 
@@ -62,13 +62,18 @@ def _whole(h: Column) -> Column:
     return F.array(F.struct(F.aggregate(h, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)).alias("hash"), F.lit(0).alias("at")))
 
 
+def _or_whole(h: Column, k: int, s: int, body) -> Column:
+    """``body`` of the closed syncmers' places; where there are none, the anchor of all words."""
+    return F.when(F.size(h) < k, _whole(h)).otherwise(_let(_closed(h, k, s), lambda at: F.when(F.size(at) == 0, _whole(h)).otherwise(body(at))))
+
+
 def _anchor(h: Column, k: int):
     return lambda i: F.struct(_hash(h, i, k).alias("hash"), i.alias("at"))
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """Array of (hash, at): all closed syncmers of a text, ``at`` being the index of the first word."""
-    found = _let(_hashes(text), lambda h: F.when(F.size(h) < k, _whole(h)).otherwise(F.transform(_closed(h, k, s), _anchor(h, k))))
+    found = _let(_hashes(text), lambda h: _or_whole(h, k, s, lambda at: F.transform(at, _anchor(h, k))))
     return F.when(_nothing(text), F.expr(f"cast(array() as array<{PLACE}>)")).otherwise(found)
 
 
@@ -97,8 +102,7 @@ def fingerprint(text: Column, k: int = K, s: int = S, kept: int | None = None) -
         return _let(_let(F.array_distinct(hashes), lambda d: F.struct(bound(d).alias("bound"), (F.size(d) < F.size(hashes)).alias("repeats"))), of)
 
     def found(h):
-        syncmers = _let(_closed(h, k, s), lambda at: _let(F.transform(at, lambda i: _hash(h, i, k)), lambda hashes: choose(hashes, at)))
-        return F.when(F.size(h) < k, _whole(h)).otherwise(syncmers)
+        return _or_whole(h, k, s, lambda at: _let(F.transform(at, lambda i: _hash(h, i, k)), lambda hashes: choose(hashes, at)))
 
     return F.when(_nothing(text), F.expr(f"cast(array() as array<{PLACE}>)")).otherwise(_let(_hashes(text), found))
 

@@ -255,3 +255,19 @@ def test_fingerprints_are_whole(spark):
     assert [tuple(m) for m in got.m] == sorted({(i, y[h][0]) for h in set(x) & set(y) for i in x[h]} | {(x[h][0], j) for h in set(x) & set(y) for j in y[h]})
     within = [m for m in got.m if 2000 <= m["at_a"] <= 2045]
     assert len(within) >= 10 and all(m["at_b"] - m["at_a"] == 2500 for m in within)
+
+
+@pytest.mark.parametrize("kept", [None, 8])
+def test_short_texts_have_an_anchor(spark, kept):
+    """Only texts without words have the empty fingerprint; unrelated short ones aren't alike."""
+    from opsgraph.llm import fingerprints as f
+
+    rows = [(n, i, " ".join(f"w{n}x{i}x{j}" for j in range(n))) for n in range(1, 10) for i in range(40)]
+    df = spark.createDataFrame(rows, "n int, i int, text string").withColumn("f", f.fingerprint(F.col("text"), kept=kept))
+    got = {(r.n, r.i): r.f for r in df.collect()}
+    assert all(got.values())
+    for n in (5, 6, 7):
+        assert len({tuple(x["hash"] for x in got[n, i]) for i in range(40)}) == 40
+    pairs = df.where("n between 5 and 7").select("n", "i", "f")
+    alike = pairs.alias("a").join(pairs.alias("b"), F.expr("a.n = b.n and a.i + 1 = b.i")).select(f.likeness(F.col("a.f"), F.col("b.f")).alias("l"))
+    assert {r.l for r in alike.collect()} == {0.0}
