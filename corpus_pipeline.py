@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsgraph.llm import decontaminate, language_id, minhash_dedup, queries, secret_scan, sentencepiece_codec
-from opsgraph.llm.shared import materialise
+from opsgraph.llm.shared import materialise, text_of
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,9 +25,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    kept = minhash_dedup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Rows with a null id are told apart by their text, on which alone it depends whether the operator keeps them.
+    """
+    docs = docs.select(*COLUMNS).withColumn("unnamed", F.when(F.col("doc_id").isNull(), F.sha2(text_of(), 256)))
+    kept = minhash_dedup.near_duplicates(docs, keep=("unnamed",)).where("kept").select(F.col("doc_id").alias("id"), F.col("unnamed").alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("unnamed").eqNullSafe(F.col("text_hash"))
+    return docs.join(kept.hint("shuffle_hash"), same, "left_semi").select(*COLUMNS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

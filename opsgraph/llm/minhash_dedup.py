@@ -91,11 +91,11 @@ def bands(found: np.ndarray) -> np.ndarray:
     return _mixed((_mixed(both) * _BAND).sum(1, dtype=np.uint64) + np.arange(len(both), dtype=np.uint64))
 
 
-def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``id``, ``n`` (shingles), ``a`` and ``b`` (128-bit hash of the set), ``bands`` (none without shingles)."""
+def sketches(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, ``keep``, ``n`` (shingles), ``a`` and ``b`` (128-bit hash of the set), ``bands`` (none without shingles)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([T.StructField("id", df.schema[key].dataType)] + [T.StructField(k, T.LongType()) for k in ("n", "a", "b")] + [T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType)] + [df.schema[k] for k in keep] + [T.StructField(k, T.LongType()) for k in ("n", "a", "b")] + [T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def convert(texts: pa.Array) -> dict[str, pa.Array]:
         n, a, b, listed = [], [], [], []
@@ -108,7 +108,7 @@ def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
             listed.append(bands(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
         return {"n": pa.array(n, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "bands": pa.array(listed, pa.list_(pa.int64()))}
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias("__text")).mapInArrow(column_map(convert, "__text", to_arrow_schema(schema), ["id"]), schema)
+    return df.select(F.col(key).alias("id"), *keep, F.col(text).alias("__text")).mapInArrow(column_map(convert, "__text", to_arrow_schema(schema), ["id", *keep]), schema)
 
 
 def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
@@ -216,9 +216,9 @@ def _unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, numerator
     return rows.groupBy("bucket", "i", "j").applyInArrow(compare, f"x {kind}, y {kind}").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` and ``kept``; one row for each row."""
-    sketched = materialise(sketches(df, key, text), "sketches")
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``keep``, ``n_shingles``, ``component_id`` and ``kept``; one row for each row."""
+    sketched = materialise(sketches(df, key, text, keep), "sketches")
     reps = sketched.where("n > 0 and id is not null").groupBy("a", "b", "n").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"))
     reps = materialise(reps, "representatives")
     rows = reps.select("id", "n", F.explode("bands").alias("bucket"))
@@ -236,4 +236,4 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", nume
         labels = materialise(components(links.unionByName(_confirmed(left, reps, sets, numerator, denominator))), "components")
     out = sketched.join(reps.select("a", "b", F.col("n").alias("rep_n"), F.col("id").alias("rep")), ["a", "b"], "left").withColumn("rep", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("rep")))
     out = out.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("id") == F.col("rep"), F.col("rep").isNull()).alias("kept"))
+    return out.select(F.col("id").alias(key), *keep, F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("id") == F.col("rep"), F.col("rep").isNull()).alias("kept"))

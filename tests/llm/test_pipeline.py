@@ -34,3 +34,12 @@ def test_stages(spark, sf_dir, tmp_path):
             assert {d: list(r.ids) for d, r in after.items()} == {d: model.encode(r.text) for d, r in before.items()}
     whole = pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in whole.select("doc_id").collect()} == set(after)
+
+
+def test_near_duplicates_with_null_ids(spark, sf_dir):
+    """The stage keeps the rows that the operator marks as kept, those with a null id included."""
+    texts = [f"w{k} " + " ".join(f"w{k}x{i}" for i in range(30)) for k in range(4)]
+    rows = [(1, texts[0]), (2, texts[0]), (None, texts[0]), (None, texts[1]), (3, texts[2]), (None, texts[3]), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, texts[0]), (None, texts[1]), (3, texts[2]), (None, texts[3]), (None, None)], key=str)
