@@ -1,6 +1,8 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-A text passes a keyword test first; few do.  Those are searched by the rules whose own keyword they have, in order.
+A text passes a keyword test first; few do.  Those are searched by the rules whose own keywords they have, in order.
+Keywords lose nothing: a rule has one for each alternative of its pattern, and the first test is made of what each rule
+or base phrase can't do without.
 Each rule is a regular expression with a label, a priority and a weight; the rules come from a table of license
 families, so that there are some hundreds of them.  Of overlapping detections, one that lies inside another of at
 least its priority is suppressed.  All this happens within the row: no shuffle, no join, no Python.
@@ -23,18 +25,19 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases, fixed values.
 PHRASES = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
-KEYWORDS = ["licen", "copyright", "reserved", "public domain", "creative commons", "cc", "gpl", "spdx", "warranty", "unlicense", "permission", "©", "(c)", "general"]
+#: What a text with a base phrase has at least.
+BASE_KEYWORDS = ["cc", "licen", "reserved"]
 
-#: Families: label, keyword, name in texts, versions, short names (patterns).
+#: Families: label, keywords (one for each alternative of the name, | between), name in texts, versions, short names (patterns).
 FAMILIES = [
     ("apache", "apache", r"apache", ["1.0", "1.1", "2.0"], r"apache|asl"),
-    ("mit", "mit", r"mit|x11|expat", [], r"mit"),
+    ("mit", "mit|x11|expat", r"mit|x11|expat", [], r"mit"),
     ("bsd-2-clause", "bsd", r"bsd[ -]2[ -]clause|simplified bsd|freebsd", [], r"bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"bsd[ -]3[ -]clause|new bsd|revised bsd|modified bsd", [], r"bsd-3-clause"),
     ("bsd-4-clause", "bsd", r"bsd[ -]4[ -]clause|original bsd", [], r"bsd-4-clause"),
     ("bsd", "bsd", r"bsd", [], r"bsd"),
     ("gpl", "general public", r"gnu general public|general public", ["1", "2", "3"], r"gpl"),
-    ("lgpl", "lesser general", r"gnu lesser general public|lesser general public|library general public", ["2", "2.1", "3"], r"lgpl"),
+    ("lgpl", "lesser general|library general", r"gnu lesser general public|lesser general public|library general public", ["2", "2.1", "3"], r"lgpl"),
     ("agpl", "affero", r"gnu affero general public|affero general public", ["1", "3"], r"agpl"),
     ("gfdl", "documentation", r"gnu free documentation|free documentation", ["1.1", "1.2", "1.3"], r"gfdl"),
     ("mpl", "mozilla", r"mozilla public", ["1.0", "1.1", "2.0"], r"mpl"),
@@ -48,13 +51,13 @@ FAMILIES = [
     ("artistic", "artistic", r"artistic", ["1.0", "2.0"], r"artistic"),
     ("ofl", "open font", r"sil open font|open font", ["1.0", "1.1"], r"ofl"),
     ("odbl", "open database", r"open database|open data commons open database", ["1.0"], r"odbl"),
-    ("python", "python", r"python software foundation|psf", ["2", "2.0"], r"psf|python"),
+    ("python", "python|psf", r"python software foundation|psf", ["2", "2.0"], r"psf|python"),
     ("php", "php", r"php", ["3.0", "3.01"], r"php"),
     ("postgresql", "postgresql", r"postgresql", [], r"postgresql"),
     ("openssl", "openssl", r"openssl", [], r"openssl"),
-    ("ncsa", "illinois", r"university of illinois/ncsa open source|ncsa", [], r"ncsa"),
+    ("ncsa", "ncsa", r"university of illinois/ncsa open source|ncsa", [], r"ncsa"),
     ("upl", "universal permissive", r"universal permissive", ["1.0"], r"upl"),
-    ("wtfpl", "wtfpl", r"do what the f\w+ you want to public|wtfpl", ["1", "2"], r"wtfpl"),
+    ("wtfpl", "do what the f|wtfpl", r"do what the f\w+ you want to public|wtfpl", ["1", "2"], r"wtfpl"),
     ("unlicense", "unlicense", r"unlicense|the unlicense", [], r"unlicense"),
     ("ms-pl", "microsoft public", r"microsoft public", [], r"ms-pl"),
     ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal", [], r"ms-rl"),
@@ -68,11 +71,11 @@ FAMILIES = [
     ("ipl", "ibm public", r"ibm public", ["1.0"], r"ipl"),
     ("apsl", "apple public", r"apple public source", ["1.0", "1.1", "1.2", "2.0"], r"apsl"),
 ]
-#: Creative Commons terms, and rules that stand by themselves: label, keyword, regular expression, priority, weight.
+#: Creative Commons terms, and rules that stand by themselves: label, keywords, regular expression, priority, weight.
 COMMONS = {"by": "attribution", "by-sa": "attribution[ -]?sharealike", "by-nd": "attribution[ -]?noderivatives", "by-nc": "attribution[ -]?noncommercial", "by-nc-sa": "attribution[ -]?noncommercial[ -]?sharealike", "by-nc-nd": "attribution[ -]?noncommercial[ -]?noderivatives"}
 SINGLE = [
     ("cc0", "cc0", r"\bcc0(?:[ -]1\.0)?\b", 3, 0.9),
-    ("cc0", "zero", r"creative commons zero", 3, 0.9),
+    ("cc0", "creative commons zero", r"creative commons zero", 3, 0.9),
     ("public-domain", "public domain", r"(?:released|dedicated|placed|is)\b.{0,40}public domain", 2, 0.8),
     ("reserved", "reserved", r"all rights reserved", 2, 0.6),
     ("copyright", "copyright", r"copyright\s+(?:\(c\)|©)?\s*\d{4}", 1, 0.4),
@@ -89,7 +92,8 @@ SINGLE = [
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """Label, keyword (lower case), regular expression (case-insensitive), priority, weight; strongest first."""
+    """Label, keywords (lower case, | between; a match has one of them at least), regular expression (case-insensitive),
+    priority, weight; strongest first."""
     made = list(SINGLE)
     for label, keyword, name, versions, short in FAMILIES:
         lead = rf"(?:(?:licensed|released|distributed|available|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+the\s+)?)?(?:the\s+)?\b(?:{name})\s+(?:software\s+)?licen[cs]e"
@@ -111,6 +115,15 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return sorted(made, key=lambda r: (-r[3], r[0], r[2]))
 
 
+def gate() -> list[str]:
+    """Keywords of which a text with any detection or base phrase has one: those of all rules, where those of a family
+    stand for the word license, which its rules have besides."""
+    families = {keywords for _, keywords, *_ in FAMILIES}
+    found = {k for _, keywords, pattern, *_ in rules() for k in (["licen"] if keywords in families and "licen[cs]e" in pattern else keywords.split("|"))}
+    found |= set(BASE_KEYWORDS)
+    return sorted(k for k in found if not any(other != k and other in k for other in found))
+
+
 def places(text: Column, pattern: Column) -> Column:
     """Array of (start, end) of all matches, leftmost and apart, in code points: what lies between the matches and the
     matches themselves are summed up."""
@@ -148,13 +161,15 @@ def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _detections(text: Column) -> Column:
-    """Detections by all rules whose keyword the text has, in order of start, those suppressed left out."""
-    listed = [{"label": a, "keyword": k, "pattern": f"(?is){r}", "priority": p, "weight": w} for a, k, r, p, w in rules()]
-    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<label:string,keyword:string,pattern:string,priority:int,weight:double>>")  # a constant
-    low = F.lower(text)
-    gated = F.filter(table, lambda r: F.contains(low, r["keyword"]))
-    hits = F.flatten(F.transform(gated, lambda r: F.transform(places(text, r["pattern"]), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("minus_end"), (-r["priority"]).alias("minus_priority"), r["label"].alias("label"), r["weight"].alias("weight")))))
+def _detections(text: Column, gated: bool = True) -> Column:
+    """Detections by all rules of whose keywords the text has one (or by all rules), in order of start, those suppressed
+    left out."""
+    listed = [{"label": a, "keywords": k.split("|"), "pattern": f"(?is){r}", "priority": p, "weight": w} for a, k, r, p, w in rules()]
+    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,weight:double>>")  # a constant
+    if gated:  # the text is lower-cased once, bound by a lambda, and not once a rule
+        able = lambda low: F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(low, k)))
+        table = F.element_at(F.transform(F.array(F.lower(text)), able), 1)
+    hits = F.flatten(F.transform(table, lambda r: F.transform(places(text, r["pattern"]), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("minus_end"), (-r["priority"]).alias("minus_priority"), r["label"].alias("label"), r["weight"].alias("weight")))))
     top = max(p for *_, p, _ in rules()) + 1
     none = F.struct(F.array(*[F.lit(-1)] * top).alias("reach"), F.expr("cast(array() as array<struct<start:int,minus_end:int,minus_priority:int,label:string,weight:double>>)").alias("out"))
 
@@ -172,7 +187,7 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``df`` and ``n_words``, ``base`` (array of word index and label), ``detections`` (array of start,
     end in code points, label, weight, priority), ``labels``, ``score``; one row for each row."""
     body = text_of(text)
-    keyed = F.lower(body).rlike("|".join(["\\Q" + k + "\\E" for k in KEYWORDS]))
+    keyed = F.lower(body).rlike("|".join(["\\Q" + k + "\\E" for k in gate()]))
     none_base = F.expr("cast(array() as array<struct<at:int,label:string>>)")
     none_hits = F.expr("cast(array() as array<struct<start:int,minus_end:int,minus_priority:int,label:string,weight:double>>)")
     words = F.transform(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), _lower)

@@ -271,3 +271,21 @@ def test_short_texts_have_an_anchor(spark, kept):
     pairs = df.where("n between 5 and 7").select("n", "i", "f")
     alike = pairs.alias("a").join(pairs.alias("b"), F.expr("a.n = b.n and a.i + 1 = b.i")).select(f.likeness(F.col("a.f"), F.col("b.f")).alias("l"))
     assert {r.l for r in alike.collect()} == {0.0}
+
+
+def test_license_keywords_lose_nothing(spark):
+    """Detections behind the keywords are those of all rules on the text."""
+    from opsgraph.llm import license_scan
+
+    names = ["GNU Library General Public", "X11", "Expat", "PSF", "do what the fuck you want to public", "NCSA", "University of Illinois/NCSA Open Source", "Simplified BSD", "zlib/libpng"]
+    names += [alternative.replace(r"\w+", "x").replace("[ -]", "-").replace("(?:/libpng)?", "") for _, _, name, *_ in license_scan.FAMILIES for alternative in name.split("|")]
+    rows = [f"see the {n} License for more" for n in dict.fromkeys(names)]
+    rows += ["Redistribution and use in source and binary forms", "proprietary and confidential", "Creative Commons Zero", "cc0", "© 2020", "nothing to see", "without any warranty", "is in the public domain"]
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    got = license_scan.scan_licenses(df.withColumn("ungated", license_scan._detections(F.col("text"), gated=False))).collect()
+    found = {r.text: {d.label for d in r.detections} for r in got}
+    for r in got:
+        assert [(d.start, -d.end, d.label) for d in r.detections] == [(d.start, d.minus_end, d.label) for d in r.ungated], r.text
+        assert bool(found[r.text]) == (r.text != "nothing to see"), r.text
+    wanted = {"see the GNU Library General Public License for more": "lgpl", "see the X11 License for more": "mit", "see the Expat License for more": "mit", "see the PSF License for more": "python", rows[4]: "wtfpl", "see the NCSA License for more": "ncsa", "Redistribution and use in source and binary forms": "bsd", "proprietary and confidential": "proprietary"}
+    assert all(label in found[t] for t, label in wanted.items())
