@@ -2,11 +2,13 @@
 
 Strong patterns are reported where they stand.  Weak ones (a bare random-looking string, an account name, an
 endpoint) mean little alone: the parts of a document are interval-joined within a scope, and a weak candidate is
-reported only where a part of another role lies in its scope.  The work is within a row: a text is scanned by a few
-regular expressions, and the join is a sweep over its parts in order of position.  No shuffle; very long texts cost
-memory in proportion to one text.
+reported only where a complementary part lies in its scope: a secret for an identifier or an endpoint, either of those
+for a secret.  The work is within a row: a text is scanned by a few regular expressions, whose time is linear in the
+text (runs of a class are tried from their start only), and the join is a sweep over its parts in order of position.
+No shuffle; very long texts cost memory in proportion to one text.
 
-Offsets are code points, end exclusive.  Null and empty texts give no findings; equal texts give equal findings.
+Offsets are code points, end exclusive.  Null and empty texts give no findings; equal texts give equal findings, and
+repeated rows each their own.  A kept column with the name of one that is made here is an error.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -38,16 +41,20 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Patterns that are secret by their form: kind, regular expression, score.
 FORMS = [
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s\\]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"), 0.99),
-    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0.9),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"), 0.9),
     ("vendor", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,})"), 0.95),
     ("login_url", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{3,128}@[A-Za-z0-9.-]+"), 0.9),
 ]
 #: Weak parts: kind, role, regular expression.
 WEAK = [
-    ("endpoint", "endpoint", re.compile(r"\b(?:https?|wss?|jdbc:[a-z]+|redis|amqp|mongodb)://[A-Za-z0-9.-]+(?::\d{2,5})?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b")),
+    ("endpoint", "endpoint", re.compile(r"\b(?:https?|wss?|jdbc:[a-z]+|redis|amqp|mongodb)://[A-Za-z0-9.-]+(?::\d{2,5})?|(?<![A-Za-z0-9_.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++:\d{2,5}\b")),
     ("account", "identifier", re.compile(r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9._@-]{3,64})""")),
     ("random", "secret", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")),
 ]
+#: Which roles complement a role: names and addresses alone are no credential.
+PARTNERS = {"secret": {"identifier", "endpoint"}, "identifier": {"secret"}, "endpoint": {"secret"}}
+#: Kinds that stay in a text when secrets are taken out of it.
+PUBLIC = {"endpoint"}
 #: Parts that lie at most so many characters apart are in one scope.
 SCOPE = 200
 #: Bits a character that a bare string must have to be a candidate.
@@ -60,8 +67,9 @@ def bits(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-def linked(parts: list[tuple[int, int, str]], scope: int = SCOPE) -> list[bool]:
-    """Interval join: of each (start, end, role), whether a part of another role lies within ``scope`` characters.
+def linked(parts: list[tuple[int, int, str]], scope: int = SCOPE, partners: dict[str, set[str]] | None = None) -> list[bool]:
+    """Interval join: of each (start, end, role), whether a part of another role (or of its role's ``partners``) lies
+    within ``scope`` characters.
 
     The ends are kept by role in order, so each part asks each other role once: n log n, whatever the overlaps.
     """
@@ -74,7 +82,7 @@ def linked(parts: list[tuple[int, int, str]], scope: int = SCOPE) -> list[bool]:
     for start, end, role in parts:
         found = False
         for other, (starts, reach) in by_role.items():
-            if other != role:
+            if other in partners[role] if partners else other != role:
                 k = bisect_right(starts, end + scope)  # those that start before the scope ends
                 found |= k > 0 and reach[k - 1] >= start - scope
         out.append(found)
@@ -102,21 +110,21 @@ def find_secrets(text: str | None, scope: int = SCOPE) -> tuple[list[Finding], l
             more += [Finding(kind, m.start(), m.end(), score) for m in form.finditer(text)]
     roles = {"assign": "secret", "access": "identifier", "hex": "secret", "login_url": "endpoint"}
     parts = [(f, roles.get(f.kind, "secret")) for f in (*base, *more)]
-    # A weak secret needs an identifier or an endpoint beside it, and the other way round.
     weak = []
     for kind, role, form in WEAK[:2]:
         if (kind == "endpoint" and ":" in text) or (kind == "account" and (":" in text or "=" in text)):
             weak += [(Finding(kind, *m.span(m.lastindex or 0), 0.4), role) for m in form.finditer(text)]
     if weak or any(role != "secret" for _, role in parts):
         known = sorted((f.start, f.end) for f, _ in parts)
+        reach = list(accumulate((e for _, e in known), max))  # the furthest end so far
         kind, role, form = WEAK[2]
         for m in form.finditer(text):
             k = bisect_left(known, (m.end(), 0))
-            if bits(m[0]) >= LEAST_BITS and re.search("[0-9]", m[0]) and not any(e > m.start() for _, e in known[max(0, k - 3) : k]):
+            if bits(m[0]) >= LEAST_BITS and re.search("[0-9]", m[0]) and not (k and reach[k - 1] > m.start()):
                 weak.append((Finding(kind, m.start(), m.end(), 0.5), role))
     if weak:
         everything = [*parts, *weak]
-        joined = linked([(f.start, f.end, role) for f, role in everything], scope)
+        joined = linked([(f.start, f.end, role) for f, role in everything], scope, PARTNERS)
         more += [f._replace(score=f.score + 0.3) for (f, _), yes in zip(weak, joined[len(parts) :], strict=True) if yes]
     more.sort(key=lambda f: (f.start, f.kind))
     return base, more
@@ -126,11 +134,11 @@ FINDING = "struct<kind:string,start:int,end:int,score:double,base:boolean>"
 
 
 def redacted(text: str | None, findings: list[Finding], sign: str = "[SECRET]") -> str | None:
-    """The text with each maximal run of findings replaced."""
+    """The text with each maximal run of findings replaced; endpoints stay, as they are no secret themselves."""
     if not findings:
         return text
     out, at, runs = [], 0, []
-    for f in sorted(findings, key=lambda f: (f.start, f.end)):
+    for f in sorted((f for f in findings if f.kind not in PUBLIC), key=lambda f: (f.start, f.end)):
         if runs and f.start <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], f.end)
         else:
