@@ -5,16 +5,20 @@ kind needs before its expression runs.  The expressions give the leftmost matche
 and are written so that long runs of one class cost linear time and no stack: a start inside such a run is tried only
 right after a match.
 
-Offsets are code points, end exclusive.  A null text is an empty one; equal texts give equal spans.
+Offsets are code points, end exclusive.  A null text is an empty one; equal texts give equal spans, repeated rows each
+their own.  Very long texts and thousands of spans in one cost time linear in both.  A column of the input with the name
+of one that is made here is an error.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_scan import places
-from .shared import text_of
+from .shared import let, reject_clashes, text_of
 
 #: Kinds of the base, in this order.
 BASE = ["email", "ip", "card", "phone"]
@@ -81,32 +85,60 @@ def _confirmed(kind: str, hit: Column) -> Column:
 _SPAN = "struct<kind:string,start:int,end:int,score:double,base:boolean>"
 
 
+#: Code points in a piece of a text; what lies near a span is cut out of two of them, not out of the whole text.
+PIECE = 1024
+
+
+def _around(pieces: Column, start: Column, end: Column) -> Column:
+    """Up to ``NEAR`` characters on each side, of a text cut into pieces."""
+
+    def cut(begin, length):
+        i = F.floor(begin / PIECE).cast("int")
+        two = F.concat(F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, i + 1), F.lit("")))
+        return F.substring(two, begin - i * PIECE + 1, length)
+
+    return F.lower(F.concat(cut(F.greatest(F.lit(0), start - NEAR), F.least(start, F.lit(NEAR))), F.lit(" "), cut(end, F.lit(NEAR))))
+
+
 def _spans(body: Column, kind: str) -> Column:
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
 
-    def span(m):
-        near = F.lower(F.substring(body, F.greatest(F.lit(1), m["start"] + 1 - NEAR), F.least(m["start"], F.lit(NEAR))))
-        near = F.concat(near, F.lit(" "), F.lower(F.substring(body, m["end"] + 1, F.lit(NEAR))))
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(RAISES[kind]), F.lit(RAISE)).otherwise(F.lit(0.0)) - F.when(near.rlike(LOWERS), F.lit(LOWER)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3).alias("score"), F.lit(kind in BASE).alias("base"))
+    def scored(good):
+        def all_of(pieces):
+            def span(m):
+                def made(near):
+                    score = F.lit(SCORES[kind]) + F.when(near.rlike(RAISES[kind]), F.lit(RAISE)).otherwise(F.lit(0.0)) - F.when(near.rlike(LOWERS), F.lit(LOWER)).otherwise(F.lit(0.0))
+                    return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3).alias("score"), F.lit(kind in BASE).alias("base"))
+
+                return let(_around(pieces, m["start"], m["end"]), made)
+
+            return F.transform(good, span)
+
+        return F.when(F.size(good) == 0, none).otherwise(let(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), all_of))
+
+    good = F.filter(places(body, F.lit(PATTERNS[kind])), lambda m: _confirmed(kind, m["hit"]))
+    return F.when(body.rlike(NEEDS[kind]), let(good, scored)).otherwise(none)
+
 
-    good = F.filter(places(body, F.lit(PATTERNS[kind])), lambda m: _confirmed(kind, F.substring(body, m["start"] + 1, m["end"] - m["start"])))
-    return F.when(body.rlike(NEEDS[kind]), F.transform(good, span)).otherwise(none)
+def _covered(listed: Column, span: Column) -> Column:
+    """Whether a span overlaps one of a kind's, which are apart and in order: the last that starts before its end is
+    found by binary search, and no other of them ends later."""
+    powers = F.array(*[F.lit(1 << i) for i in range(26, -1, -1)])
+    before = F.aggregate(powers, F.lit(0), lambda n, p: F.when((n <= F.size(listed) - p) & (F.get(listed, n + p - 1)["start"] < span["end"]), n + p).otherwise(n))
+    return F.when(F.size(listed) == 0, F.lit(False)).otherwise(F.coalesce(F.get(listed, before - 1)["end"] > span["start"], F.lit(False)))
 
 
 def find_pii(df: DataFrame, text: str = "text", kinds: list[str] | None = None) -> DataFrame:
     """All columns of ``df`` and ``spans``: an array of (kind, start, end, score, base), kinds in the order of the table
     and each kind by start.  Spans of the base are all there; a span of another kind that overlaps one of them isn't."""
     kinds = kinds or list(PATTERNS)
-    base = [k for k in kinds if k in BASE]
+    base, more = [k for k in kinds if k in BASE], [k for k in kinds if k not in BASE]
+    reject_clashes(df.columns, ["spans", *[f"__{k}" for k in kinds]])
     body = text_of(text)
-    empty = F.expr(f"cast(array() as array<{_SPAN}>)")
-    made = df.withColumn("__base", F.concat(*[_spans(body, k) for k in base]) if base else empty)
-    more = [k for k in kinds if k not in BASE]
-    found = F.concat(*[_spans(body, k) for k in more]) if more else empty
-    made = made.withColumn("__more", found)
-    apart = F.filter("__more", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return made.withColumn("spans", F.concat("__base", apart)).drop("__base", "__more")
+    made = df.withColumns({f"__{k}": _spans(body, k) for k in kinds})
+    apart = [F.filter(f"__{k}", lambda s: ~reduce(lambda a, b: a | b, [_covered(F.col(f"__{b}"), s) for b in base], F.lit(False))) for k in more]
+    found = F.concat(F.expr(f"cast(array() as array<{_SPAN}>)"), *[F.col(f"__{k}") for k in base], *apart)
+    return made.withColumn("spans", found).drop(*[f"__{k}" for k in kinds])
 
 
 def mask(text: Column, spans: Column, sign: str = "#") -> Column:
