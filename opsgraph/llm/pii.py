@@ -123,7 +123,7 @@ def _spans(body: Column, kind: str) -> Column:
 def _covered(listed: Column, span: Column) -> Column:
     """Whether a span overlaps one of a kind's, which are apart and in order: the last that starts before its end is
     found by binary search, and no other of them ends later."""
-    powers = F.array(*[F.lit(1 << i) for i in range(26, -1, -1)])
+    powers = F.expr(f"array({','.join(str(1 << i) for i in range(26, -1, -1))})")
     before = F.aggregate(powers, F.lit(0), lambda n, p: F.when((n <= F.size(listed) - p) & (F.get(listed, n + p - 1)["start"] < span["end"]), n + p).otherwise(n))
     return F.when(F.size(listed) == 0, F.lit(False)).otherwise(F.coalesce(F.get(listed, before - 1)["end"] > span["start"], F.lit(False)))
 

@@ -93,7 +93,7 @@ def fold(listed: Column, zero: Column, kind: str, step: Callable[[Column, Column
         start = F.struct(zero.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
         return F.flatten(F.aggregate(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int"))), start, block)["out"])
 
-    return F.when(F.size(listed) == 0, empty).otherwise(let(listed, blocks))
+    return let(listed, lambda values: F.when(F.size(values) == 0, empty).otherwise(blocks(values)))
 
 
 def column_map(

@@ -121,3 +121,53 @@ def test_clashing_names_are_errors(spark, name):
     df = spark.createDataFrame([(1, "x", 2)], f"doc_id long, text string, {name} int")
     with pytest.raises(ValueError):
         pii.find_pii(df) if name == "spans" else license_scan.scan_licenses(df)
+
+
+def test_order_of_shards_depends_on_seed_and_rows_only(spark):
+    """Partitions, adaptive execution and the order of arrival change no place; another seed does."""
+    from pyspark.sql import functions as F
+
+    from opsgraph.llm.sharding import shard_records
+
+    rows = [(i, f"text {i % 900}") for i in range(3000)] + [(7, "copy " * 9)] * 2500 + [(None, None)] * 700 + [(7, f"other {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    places, before = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for n, adaptive, seed in ((4, "true", 17), (7, "true", 17), (211, "true", 17), (7, "false", 17), (4, "true", 18)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got = shard_records(df.repartition(n, F.xxhash64("text", F.lit(n))), shards=8, seed=seed, bucket_bytes=60_000).collect()
+            assert len(got) == len(rows)
+            places.append(sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.shard, r.slot) for r in got))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert places[0] == places[1] == places[2] == places[3] != places[4]
+    slots = {}
+    for _, _, _, shard, slot in places[0]:
+        slots.setdefault(shard, []).append(slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_permutations_are_even(spark):
+    """Every place is as likely for every number, over many buckets."""
+    from pyspark.sql import functions as F
+
+    from opsgraph.llm.sharding import permutation
+
+    got = [r[0] for r in spark.range(4000).select(permutation(F.lit(5), F.col("id"), 3)).collect()]
+    assert all(sorted(p) == [0, 1, 2, 3, 4] for p in got)
+    for place in range(5):
+        for number in range(5):
+            assert abs(sum(p[place] == number for p in got) - 800) < 130
+    assert spark.range(1).select(permutation(F.lit(1), F.col("id"), 3)).first()[0] == [0]
+
+
+def test_written_shards(spark, tmp_path):
+    from opsgraph.llm.sharding import shard_records, write_shards
+
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(500)], "doc_id long, text string")
+    write_shards(df, f"{tmp_path}/shards", shards=4)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    order = lambda d: sorted((r.shard, r.slot, r.doc_id, r.text) for r in d.collect())
+    assert order(back) == order(shard_records(df, shards=4))
