@@ -2,20 +2,25 @@
 
 Each permutation is evaluated once for a shingle and both its smallest and its largest value are kept, so 64
 evaluations give 128 signature values.  Bands of four values (of smallest or of largest ones, from four permutations)
-make 32 buckets a document: a pair at similarity 0.85 shares none of them with a probability below 1e-10.
+make 32 buckets a document: a pair at similarity 0.85 shares none of them with a probability of 6e-11, at 0.8 of 5e-8
+(for independent bands).
 
 What is linked is decided on full shingle sets (64-bit hashes of five words each).  Texts of equal sets are one class
 and go through its smallest id, so thousands of copies cost one representative.  Within a bucket nobody meets everybody at
 first: members are compared with one pivot, and confirmed links are joined into components, which settles most buckets.
-Buckets that still hold several components are compared in blocks of bounded size, by a product of incidence matrices in
-numpy that yields links only (one for two components), so that no link is lost and no pairs are written out.
+Buckets that still hold several components are compared as a whole, in blocks of bounded size, by a product of incidence
+matrices of the full sets in numpy that yields links only (one for two components), so that no link is lost and no
+pairs are written out.
 
 Scale: shuffled are bands (32 hashes a representative), the texts of bucketed representatives once, and shingle sets
-of compared pairs.  Sums by class and by bucket are partial before a shuffle; the joins are plain equi-joins, which AQE
-splits where a key is hot.  Intermediate tables go to the shared folder; nothing is collected.
-
-Defined results: a text without words has no shingles, links with nothing and is kept.  A null id joins the class of
-its text without representing it; where a class has no other ids its component is null and the rows are kept.
+of compared pairs.  Sums by class and by bucket are partial before a shuffle and are written, so that the joins with
+them are plain joins of two shuffled sides, which AQE splits where a key is hot.  Intermediate tables go to the shared
+folder, most are deleted when nothing reads them any more; nothing is collected.
+
+Defined results: a text without words (null and empty ones too) has no shingles, links with nothing and is kept.  A null
+id joins the class of its text without representing it; where a class has no other ids its component is null and the
+rows are kept.  Repeated rows have equal results.  Texts of any length are compared whole.  A kept column with the name
+of one that is made here is an error.
 """
 
 from __future__ import annotations
@@ -27,18 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import column_map, materialise
+from .shared import column_map, discard, materialise, reject_clashes
 
 #: Words of a shingle, permutations, values of a band.
 WORDS, PERMUTATIONS, ROWS = 5, 64, 4
 #: A pair is linked when DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 85, 100
-#: Bands that a pair must share to be compared on full sets; at similarity 0.85 some 17 of 32 are shared.
+#: Bands that a member must share with its pivot to be compared with it at first; at similarity 0.85 some 17 of 32 are
+#: shared.  Who shares fewer is left to the comparison of whole buckets.
 LEAST_BANDS = 3
-#: Members of a bucket in one block of the comparison of what pivots leave, and shingles (columns) in one product.
-BLOCK, COLUMNS = 512, 4096
-#: Shingles are compared by 32 bits there; a pair that lacks so many is confirmed on the full sets all the same.
-SLACK = 2
+#: Members of a bucket, and their shingles, in one block of the comparison of what pivots leave, about; shingles
+#: (columns) in one product.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 21, 4096
 KEPT_WORDS = 200_000
 
 _random = np.random.Generator(np.random.PCG64(20240607))
@@ -135,7 +140,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = materialise(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, edges = edges, materialise(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         ends = edges.select("u").distinct()
         if ends.count() == edges.count() and edges.join(ends.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -156,18 +162,18 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, numerator: in
     return both.where(common * denominator >= (F.size("set_x") + F.size("set_y") - common) * numerator).select("x", "y")
 
 
-def linked_in_block(ids: np.ndarray, component: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
-    """Pairs of different components that are linked or nearly so, by position: of two components one pair that
-    certainly is, and all that are within the slack.  With two sides, only pairs across."""
-    k, sizes = len(tokens), np.array([len(t) for t in tokens], np.int64)
-    _, column, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+def linked_in_block(ids: np.ndarray, component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Pairs of different components that are linked, by position, one of each two components; ``sets`` are the full
+    shingle sets (distinct hashes each).  With two sides, only pairs across."""
+    k, sizes = len(sets), np.array([len(t) for t in sets], np.int64)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(k), sizes)
     shared = count[column] > 1  # what one text has alone is common to no pair
     row, column = row[shared], column[shared]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
-    common = np.zeros((k, k), np.float32)
+    common = np.zeros((k, k), np.float64)
     edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + COLUMNS, COLUMNS))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if b > a:
@@ -175,36 +181,29 @@ def linked_in_block(ids: np.ndarray, component: np.ndarray, side: np.ndarray, to
             part[row[a:b], column[a:b] % COLUMNS] = 1
             common += part @ part.T
     # intersection * denominator >= (total - intersection) * numerator
-    lack = numerator * (sizes[:, None] + sizes[None, :]) - (numerator + denominator) * common.astype(np.int64)
-    able = (lack <= SLACK * (numerator + denominator)) & (component[:, None] != component[None, :]) & (ids[:, None] < ids[None, :])
+    linked = (numerator + denominator) * common.astype(np.int64) >= numerator * (sizes[:, None] + sizes[None, :])
+    linked &= (component[:, None] != component[None, :]) & (ids[:, None] < ids[None, :])
     if (side != side[0]).any():
-        able &= side[:, None] != side[None, :]
-    i, j = np.nonzero(able)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    out = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        pair = (min(component[x], component[y]), max(component[x], component[y]))
-        if lack[x, y] <= -SLACK * (numerator + denominator):
-            best[pair] = min(best.get(pair, (0, 0, 0)), (int(lack[x, y]), x, y))
-        else:
-            out.append((x, y))
-    return out + [(x, y) for _, x, y in best.values()]
+        linked &= side[:, None] != side[None, :]
+    i, j = np.nonzero(linked)
+    one = {(min(component[x], component[y]), max(component[x], component[y])): (x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+    return list(one.values())
 
 
 def _unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs ``x``, ``y`` to confirm, out of the buckets with several components."""
+    """Links ``x``, ``y`` between components, out of the buckets with several of them."""
     placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high").select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"), F.sum("n").alias("shingles")).where("low < high")
+    mixed = materialise(mixed.select("bucket", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "mixed")
     rows = placed.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.select("id", "bucket", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("id", "bucket", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    narrow = sets.select("id", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("tokens"))
-    rows = rows.join(narrow, "id")
+    rows = rows.join(sets, "id")
     kind = sets.schema["id"].dataType.simpleString()
 
     def compare(group: pa.Table) -> pa.Table:
-        tokens, ids = group.column("tokens").combine_chunks(), group.column("id").combine_chunks()
-        flat, at = tokens.flatten().to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+        shingled, ids = group.column("shingles").combine_chunks(), group.column("id").combine_chunks()
+        flat, at = shingled.flatten().to_numpy(), shingled.offsets.to_numpy() - shingled.offsets[0].as_py()
         listed = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         order = np.argsort(np.array(ids.to_pylist()), kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -218,22 +217,23 @@ def _unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, numerator
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR, keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``keep``, ``n_shingles``, ``component_id`` and ``kept``; one row for each row."""
+    reject_clashes(list(keep), ["n_shingles", "component_id", "kept"])
     sketched = materialise(sketches(df, key, text, keep), "sketches")
     reps = sketched.where("n > 0 and id is not null").groupBy("a", "b", "n").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"))
     reps = materialise(reps, "representatives")
     rows = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("p")).where("c > 1").select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "shared")
     members = materialise(rows.join(shared, "bucket"), "buckets")
     bucketed = members.select("id").distinct()
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     sets = materialise(shingle_sets(texts.join(bucketed.hint("shuffle_hash"), "id")), "sets")
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    met = members.join(pivots, "bucket").where("id <> pivot").where(_alike(F.col("n"), F.col("pivot_n"), numerator, denominator)).select(F.col("pivot").alias("x"), F.col("id").alias("y")).distinct()
+    met = members.where("id <> pivot").where(_alike(F.col("n"), F.col("pivot_n"), numerator, denominator)).select(F.col("pivot").alias("x"), F.col("id").alias("y")).distinct()
     links = materialise(_confirmed(met, reps, sets, numerator, denominator), "links")
     labels = materialise(components(links), "components")
-    left = materialise(_unsettled(members, labels, sets, numerator, denominator), "unsettled")
+    left = materialise(_unsettled(members.select("id", "n", "bucket"), labels, sets, numerator, denominator), "unsettled")
     if not left.isEmpty():
-        labels = materialise(components(links.unionByName(_confirmed(left, reps, sets, numerator, denominator))), "components")
+        labels = materialise(components(links.unionByName(left)), "components")
+    discard(shared, members, sets, links, left)
     out = sketched.join(reps.select("a", "b", F.col("n").alias("rep_n"), F.col("id").alias("rep")), ["a", "b"], "left").withColumn("rep", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("rep")))
     out = out.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(key), *keep, F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("id") == F.col("rep"), F.col("rep").isNull()).alias("kept"))

@@ -171,3 +171,43 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/shards")
     order = lambda d: sorted((r.shard, r.slot, r.doc_id, r.text) for r in d.collect())
     assert order(back) == order(shard_records(df, shards=4))
+
+
+def edge_pair(words, common):
+    """Two texts of so many words that share the first ones, and the exact share of their 5-word shingles."""
+    a = [f"w{i}" for i in range(words)]
+    b = a[:common] + [f"v{i}" for i in range(words - common)]
+    n, both = words - 4, common - 4
+    return " ".join(a), " ".join(b), both, 2 * n - both
+
+
+@pytest.mark.parametrize("words", [20_000, 200_000])
+@pytest.mark.parametrize("over", [0, 1])
+def test_long_sets_at_the_edge(words, over):
+    """The comparison of whole buckets links long texts exactly at 85 of 100, and not below."""
+    import numpy as np
+
+    from opsgraph.llm.minhash_dedup import linked_in_block, shingles
+
+    least = next(c for c in range(int(words * 0.9), words) if 100 * (c - 4) >= 85 * (2 * (words - 4) - (c - 4)))
+    a, b, both, union = edge_pair(words, least - 1 + over)
+    assert (100 * both >= 85 * union) == bool(over)
+    found = linked_in_block(np.arange(2), np.arange(2), np.zeros(2), [shingles(a), shingles(b)], 85, 100)
+    assert found == ([(0, 1)] if over else [])
+
+
+def test_buckets_that_pivots_leave(spark):
+    """Families that share a long opening meet in buckets whose pivot is of another family; each is found whole."""
+    from opsgraph.llm.minhash_dedup import near_duplicates
+
+    opening = " ".join(f"o{i}" for i in range(150))
+    rows = []
+    for family in range(12):
+        own = [f"f{family}x{i}" for i in range(60)]
+        for copy in range(6):
+            rows.append((len(rows) + 1, opening + " " + " ".join(own[:50] + [f"c{copy}"] + own[51:])))
+    import brute
+
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute.classes(rows)
+    assert got == want and len({c for _, c in want.values()}) == 12
