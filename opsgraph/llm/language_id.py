@@ -6,11 +6,13 @@ language.  The prior is the host's: expected counts by host from a grouped aggre
 smoothed towards the host's domain, which is smoothed towards the corpus.  The posterior multiplies them all.
 
 The text model is fitted on a bounded sample of labelled rows, about ``sample_rows`` of them chosen by a hash of the
-key, at any size; priors are counted over all rows.  Two narrow passes over the texts and no shuffle of them: only
-sums by host move.  Hosts are broadcast while there are at most ``BROADCAST_HOSTS``; beyond, they are joined.
+key, at any size; priors are counted over all rows.  One pass over the texts, whose evidence is written, and no shuffle
+of them: only sums by host move.  Hosts are broadcast while there are at most ``BROADCAST_HOSTS``; beyond, they are joined.
 
-Results: a text without letters is undetermined (``und``) and not kept.  A null host has the corpus prior, a null or
-unknown declaration or suffix is no evidence.  Without labelled rows every text with letters is ``und`` and kept.
+Results: a text without letters (null and empty ones too) is undetermined (``und``) and not kept.  A null host has the
+corpus prior, a null or unknown declaration or suffix is no evidence.  Without labelled rows every text with letters is
+``und`` and kept.  Texts of any length count whole, repeated rows have equal results; of equally likely languages the
+first by name is given.  A column of the input with the name of one that is made here is an error.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import column_map
+from .shared import column_map, materialise, reject_clashes
 
 BUCKETS = 1 << 16
-#: Labelled rows that the text model is fitted on, about.
-SAMPLE_ROWS = 4000
+#: Labelled rows that the text model is fitted on, about, and languages at most (those with the most rows among them).
+SAMPLE_ROWS, LANGUAGES = 4000, 200
 #: Weight of a trigram's evidence, and pseudo-counts of a bucket, a host and a domain.
 TEMPER, ALPHA, HOST_WEIGHT, DOMAIN_WEIGHT = 0.1, 0.5, 20.0, 50.0
 #: Probability that a declaration, or a national suffix, is right.
@@ -68,12 +70,19 @@ class TextModel:
         return (total - total.max()).tolist()
 
 
+def _code(label: Column) -> Column:
+    """The language of a label such as ``en``, ``en-GB`` or ``EN_us``."""
+    return F.lower(F.substring_index(F.substring_index(F.trim(label), "-", 1), "_", 1))
+
+
 def fit(df: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> TextModel:
     """The text model from about ``sample_rows`` labelled rows with the smallest hashes of the key."""
-    labelled = df.where(F.col(label).isNotNull())
+    labelled = df.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), _code(F.col(label).cast("string")).alias("label"), F.col(text).alias("text"))
     share = min(1.0, sample_rows / max(1, labelled.count()))
     if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        labelled = labelled.where(F.pmod(F.xxhash64(F.col("key")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    known = [r.label for r in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()]
+    labelled = labelled.where(F.col("label").isin(known))
     schema = "label string, bucket int, n long"
 
     def count(batches):
@@ -86,7 +95,7 @@ def fit(df: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["label", "bucket", "n"])
 
     counts: dict[str, np.ndarray] = {}
-    rows = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).mapInArrow(count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    rows = labelled.select("label", "text").mapInArrow(count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     for r in rows.collect():  # languages times buckets at most
         counts.setdefault(r.label, np.zeros(BUCKETS, np.int64))[r.bucket] = r.n
     return TextModel(counts)
@@ -142,39 +151,42 @@ def host_priors(rows: DataFrame, languages: list[str]) -> DataFrame:
     return hosts.join(domains, "__domain").select("__host", F.array(*host).alias("__prior"))
 
 
-def identify(df: DataFrame, model: TextModel, text: str = "text", host: Column | None = None, declared: Column | None = None, suffix: Column | None = None, least: float = LEAST_POSTERIOR) -> DataFrame:
-    """All columns of ``df`` and ``language``, ``posterior``, ``kept``; one row for each row.
+def identify(df: DataFrame, model: TextModel, text: str = "text", host: Column | None = None, declared: Column | None = None, suffix: Column | None = None, least: float = LEAST_POSTERIOR, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``keep`` columns (all by default) and ``language``, ``posterior``, ``kept``; one row for each row.
 
     ``host`` is an address's host (or any name of a source), ``declared`` a language code, ``suffix`` the last label of
-    the host.
+    the host.  The evidence of the rows is written with the columns to keep, so leave out what isn't needed.
     """
+    keep = list(df.columns if keep is None else keep)
+    reject_clashes(keep, ["language", "posterior", "kept"])
     null = F.lit(None).cast("string")
     host, declared, suffix = (x if x is not None else null for x in (host, declared, suffix))
     if not model.languages:
         letters = F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")
-        return df.withColumns({"language": F.lit("und"), "posterior": F.lit(0.0), "kept": letters})
+        return df.select(*keep, F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), letters.alias("kept"))
     k, pairs = len(model.languages), [F.lit(x) for p in SUFFIXES.items() for x in p]
-    code = F.lower(F.substring_index(F.substring_index(declared, "-", 1), "_", 1))
     spoken = F.create_map(*pairs)[F.lower(suffix)]
-    likely = with_evidence(df.withColumns({"__host": F.coalesce(F.lower(host), F.lit("")), "__declared": code, "__spoken": spoken}), model, text)
-    narrow = with_evidence(df.select(F.col(text).alias("__text"), F.coalesce(F.lower(host), F.lit("")).alias("__host")), model, "__text")
-    priors = host_priors(narrow.select("__host", _softmax(F.col("__evidence")).alias("__posterior")), model.languages)
-    from .shared import materialise
-
-    priors = materialise(priors, "hosts")
+    rows = df.select(*keep, F.col(text).alias("__text"), F.coalesce(F.lower(host), F.lit("")).alias("__host"), _code(declared).alias("__declared"), spoken.alias("__spoken"))
+    likely = materialise(with_evidence(rows, model, "__text").drop("__text"), "evidence")
+    priors = materialise(host_priors(likely.select("__host", _softmax(F.col("__evidence")).alias("__posterior")), model.languages), "hosts")
     few = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     joined = likely.join(F.broadcast(priors) if few else priors, "__host", "left")
-    flat = F.array(*[F.lit(1.0 / k)] * k)
-    logs = F.transform(
-        F.arrays_zip(F.col("__evidence").alias("a"), _observed(F.col("__declared"), model.languages, DECLARED_RIGHT).alias("b"), _observed(F.col("__spoken"), model.languages, SUFFIX_RIGHT).alias("c"), F.coalesce("__prior", flat).alias("d")),
-        lambda x: x["a"] + x["b"] + x["c"] + F.log(x["d"]),
-    )
-    made = joined.withColumn("__posterior", F.when(F.col("__evidence").isNotNull(), _softmax(logs)))
+    made = joined.withColumn("__posterior", F.when(F.col("__evidence").isNotNull(), posterior(model.languages)))
     top = F.array_max("__posterior")
     names = F.array(*[F.lit(x) for x in model.languages])
     made = made.withColumns({
-        "language": F.coalesce(F.element_at(names, F.array_position("__posterior", top).cast("int")), F.lit("und")),
+        "language": F.when(top.isNull(), F.lit("und")).otherwise(F.get(names, (F.array_position("__posterior", top) - 1).cast("int"))),
         "posterior": F.coalesce(F.round(top, 6), F.lit(0.0)),
         "kept": F.coalesce(top >= least, F.lit(False)),
     })
-    return made.select(*df.columns, "language", "posterior", "kept")
+    return made.select(*keep, "language", "posterior", "kept")
+
+
+def posterior(languages: list[str]) -> Column:
+    """Of a row's evidence, declaration, suffix and host prior, the probability of each language."""
+    flat = F.array(*[F.lit(1.0 / len(languages))] * len(languages))
+    logs = F.transform(
+        F.arrays_zip(F.col("__evidence").alias("a"), _observed(F.col("__declared"), languages, DECLARED_RIGHT).alias("b"), _observed(F.col("__spoken"), languages, SUFFIX_RIGHT).alias("c"), F.coalesce("__prior", flat).alias("d")),
+        lambda x: x["a"] + x["b"] + x["c"] + F.log(x["d"]),
+    )
+    return _softmax(logs)

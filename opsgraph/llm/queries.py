@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from . import decontaminate, fingerprints, language_id, license_scan, minhash_de
 from .shared import text_of
 
 #: Where the public tokenizer files are, unless a parameter says otherwise.
-TOKENIZERS = os.environ.get("OPSGRAPH_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("OPSGRAPH_TOKENIZERS") or os.path.dirname(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = language_id.fit(documents)
-    out = language_id.identify(documents, model, host=F.col("source"), declared=F.col("lang"))
-    return out.select("doc_id", "language", "posterior", "kept")
+    return language_id.identify(documents, model, host=F.col("source"), declared=F.col("lang"), keep=("doc_id",))
 
 
 def lang_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def lang_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/]+/([a-z]{2})(?:/|$)", 1)
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z]{2})", 1)
     rows = pages.select("page_id", body.alias("text"), host.alias("host"), F.when(declared != "", declared).otherwise(path).alias("declared"))
-    out = language_id.identify(rows, model, host=F.col("host"), declared=F.col("declared"), suffix=F.substring_index("host", ".", -1))
-    return out.select("page_id", "language", "posterior", "kept")
+    return language_id.identify(rows, model, host=F.col("host"), declared=F.col("declared"), suffix=F.substring_index("host", ".", -1), keep=("page_id",))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,3 +211,98 @@ def test_buckets_that_pivots_leave(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     want = brute.classes(rows)
     assert got == want and len({c for _, c in want.values()}) == 12
+
+
+def plain_bayes(rows, train, suffixes):
+    """(id, text, host, declared, suffix) to (language, posterior) with texts' trigrams, a host's counts smoothed by its
+    domain's and those by the corpus's; ``train``: (label, text).  In plain Python."""
+    import math
+    import re
+
+    from opsgraph.llm import language_id as l
+
+    def grams(text):
+        folded = b" " + b" ".join(re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").lower().encode())) + b" "
+        return [(folded[i] * 40503 + folded[i + 1] * 9973 + folded[i + 2] * 257) % l.BUCKETS for i in range(len(folded) - 2)]
+
+    counts = {}
+    for label, text in train:
+        for g in grams(text):
+            counts.setdefault(label, {}).setdefault(g, 0)
+            counts[label][g] += 1
+    names = sorted(counts)
+    total = {x: sum(counts[x].values()) + l.ALPHA * l.BUCKETS for x in names}
+
+    def softmax(logs):
+        weights = [math.exp(x - max(logs)) for x in logs]
+        return [w / sum(weights) for w in weights]
+
+    evidence, hosts = {}, {}
+    for i, text, host, _, _ in rows:
+        found = grams(text)
+        if found:
+            evidence[i] = [l.TEMPER * sum(math.log((counts[x].get(g, 0) + l.ALPHA) / total[x]) for g in found) for x in names]
+            p = softmax(evidence[i])
+            hosts[host or ""] = [a + b for a, b in zip(hosts.get(host or "", [0] * len(names)), p, strict=True)]
+    domain = lambda h: ".".join(h.split(".")[-2:]) if "." in h else ""
+    add = lambda listed: [sum(x) for x in zip(*listed, strict=True)]
+    whole = add(hosts.values())
+    corpus = [(x + 1) / (sum(whole) + len(names)) for x in whole]
+    smooth = lambda own, above, weight: [(x + weight * p) / (sum(own) + weight) for x, p in zip(own, above, strict=True)]
+    domains = {d: smooth(add([c for h, c in hosts.items() if domain(h) == d]), corpus, l.DOMAIN_WEIGHT) for d in {domain(h) for h in hosts}}
+    out = {}
+    for i, _, host, declared, suffix in rows:
+        if i in evidence:
+            logs = [e + math.log(p) for e, p in zip(evidence[i], smooth(hosts[host or ""], domains[domain(host or "")], l.HOST_WEIGHT), strict=True)]
+            for seen, right in ((declared, l.DECLARED_RIGHT), (suffixes.get(suffix), l.SUFFIX_RIGHT)):
+                if seen in names:
+                    logs = [x + math.log(right if n == seen else (1 - right) / (len(names) - 1)) for x, n in zip(logs, names, strict=True)]
+            p = softmax(logs)
+            out[i] = (names[p.index(max(p))], max(p))
+        else:
+            out[i] = ("und", 0.0)
+    return out
+
+
+def test_language_is_bayes(spark, sf_dir):
+    """Held-out rows, text, host and suffix only: the posterior is that of plain Python, and right."""
+    from pyspark.sql import functions as F
+
+    from opsgraph.llm import language_id as l
+
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    train, held = docs[::2], docs[1::2]
+    hosts = ["www.a.de", "b.a.de", "c.fr", None, "plain"]
+    rows = [(i, t, hosts[k % 5], None, (hosts[k % 5] or "").split(".")[-1]) for k, (i, t, _) in enumerate(held)] + [(-1, None, "c.fr", "fr", "fr"), (-2, "12 34", None, None, None), (-3, "la", "new.fr", "fr", "fr")]
+    model = l.fit(spark.createDataFrame([(i, t, g) for i, t, g in train], "doc_id long, text string, lang string"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, declared string, suffix string")
+    got = {r.doc_id: (r.language, r.posterior) for r in l.identify(df, model, host=F.col("host"), declared=F.col("declared"), suffix=F.col("suffix"), keep=("doc_id",)).collect()}
+    want = plain_bayes(rows, [(g, t) for _, t, g in train], l.SUFFIXES)
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 2e-3 for i in want)
+    right = [got[i][0] == g for i, t, g in held if len(t) > 60]
+    assert sum(right) / len(right) > 0.97
+
+
+def test_language_of_pages(spark, tmp_path):
+    """Markup, suffix and host decide where the text says little; scripts and comments say nothing."""
+    from opsgraph.llm import queries
+
+    words = {"en": "the water and the other thing", "de": "das Wasser und die andere Sache", "fr": "l'eau et les autres choses"}
+    rows = [(k * 10 + i, words[g] + f" {i}", g) for k, g in enumerate(words) for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    page = lambda body, lang="": f"<html{lang}><script>the water and the other thing</script><!-- the thing --><p>{body}</p></html>"
+    pages = [(1, "https://x.org/a", page(words["de"] * 3)), (2, "https://x.fr/a", page("ok", ' lang="fr-CA"')), (3, "https://x.fr/de/a", page("ok", ' lang="fr"')), (4, "https://y.de/", page("ok")), (5, None, None), (6, "https://x.org/", page("123"))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.language, r.kept) for r in queries.lang_pages(spark, str(tmp_path)).collect()}
+    assert {i: got[i] for i in (1, 2, 4, 5, 6)} == {1: ("de", True), 2: ("fr", True), 4: ("de", True), 5: ("und", False), 6: ("und", False)} and got[3][0] == "fr"
+
+
+def test_labels_are_codes(spark):
+    from opsgraph.llm import language_id as l
+
+    model = l.fit(spark.createDataFrame([(1, "the water", "EN-us"), (2, "the thing", "en_GB"), (3, "das Wasser", " de "), (4, "x", None)], "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"]
+    df = spark.createDataFrame([(1, "x", True)], "doc_id long, text string, kept boolean")
+    with pytest.raises(ValueError):
+        l.identify(df, model)
