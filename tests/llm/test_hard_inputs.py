@@ -306,3 +306,42 @@ def test_labels_are_codes(spark):
     df = spark.createDataFrame([(1, "x", True)], "doc_id long, text string, kept boolean")
     with pytest.raises(ValueError):
         l.identify(df, model)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """What repeats in one text of an id isn't cut out of another text of that id."""
+    import random
+
+    from opsgraph.llm.suffix_dedup import remove_repeats
+
+    r = random.Random(1)
+    a, b = (" ".join(f"{s}{r.randrange(10**6)}" for _ in range(100)) for s in "ab")
+    got = remove_repeats(spark.createDataFrame([(1, a), (1, b), (2, a), (None, b[:300]), (None, None)], "doc_id long, text string").repartition(3)).collect()
+    cut = sorted((r.n_bytes, sum(x.end - x.start for x in r.removed)) for r in got)
+    assert cut == sorted([(len(a), len(a)), (len(a), len(a)), (len(b), 300), (300, 300), (0, 0)])
+
+
+def test_contexts_in_segments():
+    """Windows choose the same anchors wherever a text is cut and however long it is."""
+    import random
+
+    from opsgraph.llm.suffix_dedup import contexts
+
+    r = random.Random(3)
+    data = bytes(r.choice(b"abcd") for _ in range(3000)) + b"z" * 2000
+    windows = lambda parts: {s + k: a for s, size, a, _ in zip(*(x.tolist() for x in parts), strict=True) for k in range(size - 199)}
+    whole = windows(contexts(data))
+    assert sorted(whole) == list(range(len(data) - 199))
+    assert windows(contexts(data, segment=700)) == whole
+    inside = windows(contexts(data[500:1500]))
+    assert all(inside[i] == whole[500 + i] for i in inside)
+    assert [len(x) for x in contexts(b"x" * 199)] == [0, 0, 0, 0]
+
+
+def test_runs_of_one_byte_are_few_intervals(spark):
+    from opsgraph.llm import suffix_dedup
+
+    rows = [(1, 0, i, 200) for i in range(150_000)] + [(1, 0, 400_000, 200), (2, 5, 7, 200)]
+    got = {(r.id, r.part): sorted(tuple(x) for x in r.intervals) for r in suffix_dedup.merged_intervals(spark.createDataFrame(rows, suffix_dedup.INTERVAL)).collect()}
+    assert len(got[1, 0]) == 4 and got[2, 5] == [(7, 207)]
+    assert suffix_dedup._merged(got[1, 0]) == [[0, 150_199], [400_000, 400_200]]
