@@ -55,8 +55,8 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def classes(rows):
-    """doc_id to the smallest doc_id reachable over links of 100 * intersection >= 85 * union."""
+def classes(rows, least=85):
+    """doc_id to the smallest doc_id reachable over links of 100 * intersection >= ``least`` * union."""
     sets = {d: shingles(t) for d, t in rows}
     up = {d: d for d in sets}
 
@@ -76,7 +76,7 @@ def classes(rows):
                 if (a, b) not in seen:
                     seen.add((a, b))
                     common = len(sets[a] & sets[b])
-                    if 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+                    if 100 * common >= least * (len(sets[a]) + len(sets[b]) - common):
                         x, y = sorted((root(a), root(b)))
                         up[y] = x
     return {d: (len(s), root(d)) for d, s in sets.items()}
