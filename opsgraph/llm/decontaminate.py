@@ -13,7 +13,9 @@ of such words follows how much its other words must score, so passages without t
 any search.  The others go through block-max WAND: cursors in item order, a pivot where the terms' best scores could
 reach the threshold, and a jump past the block where the blocks' best scores can't.
 
-Null and empty texts, and items without words, match nothing; an item with a null id is one like the others.
+Null and empty texts, and items without words, match nothing; an item with a null id is one like the others.  Texts of
+any length are searched whole, repeated rows each on their own; of an item's passages with equal scores the first that
+passes is reported.  A kept column with the name of one that is made here is an error.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import column_map, text_of
+from .shared import column_map, discard, materialise, text_of
 
 K1, B = 1.2, 0.75
 #: Words from one passage's start to the next one's in the class of the shortest items; each further class has twice as
@@ -70,6 +72,13 @@ def stride_of(length: int) -> int:
     return stride
 
 
+def shared(part: list[bytes], around: list[bytes]) -> float:
+    """Share of a part's distinct grams that stand around a passage; of a part with fewer words than a gram has, the
+    whole sequence is one.  A part without words is found."""
+    n = min(GRAM, len(part))
+    return len(grams(part, n) & grams(around, n)) / len(grams(part, n)) if n else 1.0
+
+
 def grams(listed: list[bytes], n: int = GRAM) -> set[tuple[bytes, ...]]:
     """Distinct n-grams; of fewer words, the whole sequence."""
     return {tuple(listed[i : i + n]) for i in range(max(1, len(listed) - n + 1))} if listed else set()
@@ -97,8 +106,7 @@ class BenchmarkIndex:
         items = sorted(((i, t) for i, t in items if words(t)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         statistics = statistics or Statistics(items)
         self.ids = [i for i, _ in items]
-        parts = [question_and_answer(t) for _, t in items]
-        self.parts = [(grams(q), grams(a)) for q, a in parts]
+        self.parts = [question_and_answer(t) for _, t in items]
         listed = [Counter(words(t)) for _, t in items]
         df, n, mean = statistics.df, statistics.items, statistics.words / max(1, statistics.items)
         self.terms = {w: k for k, w in enumerate(sorted({w for c in listed for w in c}))}
@@ -209,9 +217,8 @@ class BenchmarkIndex:
         for item, found in sorted(retrieved.items()):
             stride, (question, answer) = self.strides[item], self.parts[item]
             for minus_score, passage in sorted(found):  # best first; the first that passes is reported
-                around = grams(listed[max(0, (passage - 2) * stride) : (passage + 4) * stride])
-                q = len(question & around) / len(question) if question else 1.0
-                a = len(answer & around) / len(answer) if answer else 1.0
+                around = listed[max(0, (passage - 2) * stride) : (passage + 4) * stride]
+                q, a = shared(question, around), shared(answer, around)
                 if q >= OVERLAP and a >= OVERLAP:
                     out.append({"item_id": self.ids[item], "score": round(min(1.0, -float(minus_score)), 6), "question": round(q, 6), "answer": round(a, 6), "passage": passage})
                     break
@@ -238,10 +245,11 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", keep
         raise ValueError("the column matches is made here")
     match = T.StructType.fromDDL(f"x array<{MATCH}>")[0]
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField("matches", match.dataType)])
-    spark, out, statistics = df.sparkSession, None, Statistics()
+    spark, out, written, statistics, blocks = df.sparkSession, None, None, Statistics(), 0
     for items in item_blocks(benchmark, item_id, item_text):
         statistics.add(items)
-    for items in item_blocks(benchmark, item_id, item_text):
+        blocks += 1
+    for k, items in enumerate(item_blocks(benchmark, item_id, item_text)):
         sent = spark.sparkContext.broadcast(pickle.dumps(BenchmarkIndex(items, statistics)))
         before = [] if out is None else ["__before"]
         now = T.StructType([*schema] + ([T.StructField("__before", match.dataType), T.StructField("__text", T.StringType())] if out is not None else [T.StructField("__text", T.StringType())]))
@@ -249,6 +257,11 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", keep
         out = source.mapInArrow(_finder(sent, to_arrow_schema(now), [*keep, *before]), now)
         if before:
             out = out.withColumn("matches", F.array_sort(F.concat("__before", "matches"))).drop("__before")
+        if k < blocks - 1:  # what one index found is written, so that its broadcast can go
+            written, out = written, materialise(out, "matches")
+            sent.destroy()
+            discard(*([written] if written is not None else []))
+            written = out
     return out.drop("__text")
 
 

@@ -8,15 +8,18 @@ compared by the share of distinct anchors in common, and the places of common an
 
 DataFrame functions only, within the row.  Words are runs between white space of the text as it is.  A text without
 closed syncmers (of fewer than k words, or of few more) has one anchor, of all its words; an empty or null text has the empty fingerprint.  Equal texts have
-equal fingerprints; two empty ones have likeness 1, an empty and another one 0.
+equal fingerprints, repeated rows each their own; two empty ones have likeness 1, an empty and another one 0.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, text_of
+from .shared import partitions, reject_clashes, text_of
 
 #: Words of a k-mer and of an inner run.
 K, S = 5, 1
@@ -148,12 +151,15 @@ def with_next(df: DataFrame, key: str, columns: list[str], made: dict[str, Colum
 
     Rows are dealt by ranges of the key (bounds from quantiles, as many as ``blocks``), each block with the first row
     of the next one, so no task sees all rows and rows move once.  Rows of one key are in order of their other columns'
-    hash; a null key comes first.
+    hash; a null key comes first.  A key, or null, that holds several quantiles has as many blocks, by ranges of that
+    hash.
     """
     spark = df.sparkSession
+    reject_clashes(df.columns, ["__block", "__tie", "__own", "__turn", *(made or {}), *(f"next_{c}" for c in [*columns, *(made or {})])])
     blocks = blocks or 4 * partitions(spark)
-    bounds = df.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] or []
-    rows = df.withColumns({"__block": _block(F.col(key), sorted(set(bounds))), "__tie": F.xxhash64(*df.columns)})
+    bounds, nulls, total = df.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 10 * blocks), F.count_if(F.col(key).isNull()), F.count("*")).first()
+    rows = df.withColumn("__tie", F.xxhash64(*df.columns))
+    rows = rows.withColumn("__block", _block(F.col(key), F.col("__tie"), sorted(bounds or []), blocks * nulls // max(1, total)))
     firsts = rows.groupBy("__block").agg(F.min(F.struct(F.col(key).alias("k"), F.col("__tie").alias("t"))).alias("o")).orderBy("__block").collect()  # one row a block
     made = made or {}
     columns = [*columns, *made]
@@ -171,12 +177,20 @@ def with_next(df: DataFrame, key: str, columns: list[str], made: dict[str, Colum
     return dealt.where("__own").drop("__block", "__tie", "__own", "__turn")
 
 
-def _block(c: Column, bounds: list) -> Column:
-    """How many bounds are at most ``c``: searched among every w-th bound, then among the w that follow."""
+def _block(c: Column, tie: Column, bounds: list, for_nulls: int) -> Column:
+    """The block of a row: how many bounds are at most its key, searched among every w-th bound, then among the w that
+    follow.  Where bounds are equal, their key's rows go to the blocks between them by ``tie``; nulls have the first
+    ``for_nulls`` blocks and one more."""
+    part = lambda n: F.least(F.lit(n - 1), F.floor((tie / F.lit(float(2**64)) + 0.5) * n).cast("int"))
+    null_block = part(for_nulls + 1)
     if not bounds:
-        return F.lit(0)
+        return F.when(c.isNull(), null_block).otherwise(for_nulls)
     w = int(len(bounds) ** 0.5) + 1
     listed, coarse = (F.array(*[F.lit(b) for b in x]) for x in (bounds, bounds[::w]))
     start = (F.size(F.filter(coarse, lambda b: b <= c)) - 1) * w
     fine = start + F.size(F.filter(F.slice(listed, start + 1, F.lit(w)), lambda b: b <= c))
-    return F.when(F.coalesce(c >= bounds[0], F.lit(False)), fine).otherwise(0)
+    plain = F.when(F.coalesce(c >= bounds[0], F.lit(False)), fine).otherwise(0)
+    for b, n in Counter(bounds).items():
+        if n > 1:  # few: such a key has several quantiles' rows
+            plain = F.when(c == b, bisect_left(bounds, b) + 1 + part(n)).otherwise(plain)
+    return F.when(c.isNull(), null_block).otherwise(plain + for_nulls)

@@ -345,3 +345,100 @@ def test_runs_of_one_byte_are_few_intervals(spark):
     got = {(r.id, r.part): sorted(tuple(x) for x in r.intervals) for r in suffix_dedup.merged_intervals(spark.createDataFrame(rows, suffix_dedup.INTERVAL)).collect()}
     assert len(got[1, 0]) == 4 and got[2, 5] == [(7, 207)]
     assert suffix_dedup._merged(got[1, 0]) == [[0, 150_199], [400_000, 400_200]]
+
+
+def plain_bm25(documents, items):
+    """(document, item) to (score, question, answer): every passage of an item's class scored in full, the best that passes
+    the check, in plain Python."""
+    import math
+    from collections import Counter
+
+    from opsgraph.llm import decontaminate as d
+
+    listed = {i: d.words(t) for i, t in items if d.words(t)}
+    df = Counter(w for x in listed.values() for w in set(x))
+    n, mean = len(listed), sum(map(len, listed.values())) / len(listed)
+    out = {}
+    for i, t in items:
+        if i not in listed:
+            continue
+        count, size = Counter(listed[i]), len(listed[i])
+        raw = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * f * (d.K1 + 1) / (f + d.K1 * (1 - d.B + d.B * size / mean)) for w, f in count.items()}
+        own, stride = sum(raw.values()), d.stride_of(size)
+        parts = d.question_and_answer(t)
+        for doc, text in documents:
+            body = d.words(text)
+            found = []
+            for p in range(max(1, -(-(len(body) - 2 * stride) // stride) + 1)):
+                score = sum(raw[w] for w in set(body[p * stride : (p + 2) * stride]) if w in raw) / own
+                if score >= d.THRESHOLD - 1e-9:
+                    around = body[max(0, (p - 2) * stride) : (p + 4) * stride]
+                    in_grams = lambda x, n: {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+                    q, a = (len(in_grams(x, k) & in_grams(around, k)) / len(in_grams(x, k)) if (k := min(3, len(x))) else 1.0 for x in parts)
+                    if q >= d.OVERLAP and a >= d.OVERLAP:
+                        found.append((-round(min(1.0, score), 6), p, round(q, 6), round(a, 6)))
+            if found:
+                out[doc, i] = (-min(found)[0], *min(found)[2:])
+    return out
+
+
+def test_decontamination_is_bm25(spark, sf_dir):
+    """Copies, edited copies, halves and shuffled words of items among documents: as a search without any short cut finds."""
+    import random
+
+    from opsgraph.llm import decontaminate
+
+    r = random.Random(6)
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()][:25]
+    items += [(1000, " ".join(f"q{r.randrange(90)}" for _ in range(130)) + ". and the answer is forty two"), (1001, "the same. common words"), (1002, "")]
+    bodies = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()[:60]]
+    for k, (_, t) in enumerate(items):
+        words = t.split()
+        edited = [w if r.random() < 0.85 else "edited" for w in words]
+        for j, x in enumerate((t, " ".join(edited), " ".join(words[: len(words) // 2]), " ".join(r.sample(words, len(words))))):
+            bodies.append((10_000 + 10 * k + j, " ".join(f"z{r.randrange(99)}" for _ in range(r.randrange(150))) + " " + x + " y" * r.randrange(80)))
+    found = decontaminate.find_benchmark(spark.createDataFrame(bodies, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, m.item_id): (m.score, m.question, m.answer) for x in found for m in x.matches}
+    want = plain_bm25(bodies, items)
+    assert set(got) == set(want) and {(10_000 + 10 * k, i) for k, (i, t) in enumerate(items) if t} <= set(got)
+    assert all(abs(a - b) < 2e-6 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_next_rows_of_hot_keys(spark):
+    """A key, or null, with a third of all rows is spread over blocks, and the order is one of all rows."""
+    from pyspark.sql import functions as F
+
+    from opsgraph.llm.fingerprints import with_next
+
+    rows = [(i, f"t{i}") for i in range(0, 600, 2)] + [(77, f"same{i}") for i in range(300)] + [(None, f"none{i}") for i in range(300)] + [(5, "twin")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = with_next(df, "doc_id", ["doc_id", "text"], blocks=16).select("*", F.xxhash64("doc_id", "text").alias("tie")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+    order = sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
+    after = {}
+    for a, b in zip(order, [*order[1:], order[0]], strict=True):
+        after.setdefault((a.doc_id, a.text), []).append((b.doc_id, b.text))
+    for r in got:
+        assert (r.next_doc_id, r.next_text) in after[r.doc_id, r.text]
+
+
+def test_fingerprint_likeness_is_jaccard(spark):
+    """Likeness of whole fingerprints against the share of 5-word shingles: close for texts of some length."""
+    from pyspark.sql import functions as F
+
+    from opsgraph.llm import fingerprints as f
+
+    a = [f"w{i}" for i in range(2000)]
+    rows = [(k, " ".join(a), " ".join(a[:k] + [f"v{i}" for i in range(2000 - k)])) for k in (200, 1000, 1800)]
+    got = {r.k: r.l for r in spark.createDataFrame(rows, "k int, a string, b string").select("k", f.likeness(f.fingerprint(F.col("a")), f.fingerprint(F.col("b"))).alias("l")).collect()}
+    for k in got:
+        assert abs(got[k] - (k - 4) / (2 * 1996 - (k - 4))) < 0.05
+
+
+def test_masked_text(spark):
+    from pyspark.sql import functions as F
+
+    from opsgraph.llm import pii
+
+    df = pii.find_pii(spark.createDataFrame([("write to é@a.b or a@b.cc, b@c.dd!",), ("nothing",), ("",)], "text string"))
+    assert [r[0] for r in df.select(pii.mask(F.col("text"), F.col("spans"))).collect()] == ["write to é@a.b or ######, ######!", "nothing", ""]
