@@ -188,6 +188,26 @@ def drawing(layer: DataFrame) -> tuple[DataFrame, DataFrame]:
     return symbols, layer.select(F.posexplode("tags").alias("pos", "t")).select("pos", X.normalize_tag("t.text").alias("text"), F.col("t.bbox").alias("bbox"))
 
 
+def read_drawing(seen: DataFrame, measured: DataFrame, seen_pairs: DataFrame, measured_pairs: DataFrame, cell: str = "drawing") -> tuple[DataFrame, DataFrame]:
+    """Symbols and connections by drawing: what a vision model saw, else what geometry measured; where the model saw
+    symbols and no connections, those are borrowed from geometry.  A drawing that neither read has no rows."""
+    by_model = seen.select(cell).distinct()
+    symbols = seen.unionByName(measured.join(by_model, cell, "left_anti"))
+    pairs = seen_pairs.join(by_model, cell, "left_semi").unionByName(measured_pairs.join(seen_pairs.join(by_model, cell, "left_semi").select(cell).distinct(), cell, "left_anti"))
+    return symbols, pairs
+
+
+def normalised_reading(raw: DataFrame, cell: str = "drawing") -> tuple[DataFrame, DataFrame]:
+    """Symbols (tag, cls, x, y, bbox) and pairs (a_tag, b_tag) out of a vision model's answer: ``symbols`` (array of tag,
+    cls, bbox) and ``connections`` (array of arrays of tags).  Symbols without a tag and pairs that aren't of two tags
+    are left out; a centre is that of its box."""
+    named = F.filter("symbols", lambda s: F.coalesce(F.trim(s["tag"]), F.lit("")) != "")
+    box = F.col("s.bbox")
+    symbols = raw.select(cell, F.explode(named).alias("s")).select(cell, X.normalize_tag("s.tag").alias("tag"), F.col("s.cls").alias("cls"), (F.get(box, F.lit(0)) + F.get(box, F.lit(2)) / 2).alias("x"), (F.get(box, F.lit(1)) + F.get(box, F.lit(3)) / 2).alias("y"), box.alias("bbox"))
+    pairs = F.filter("connections", lambda p: (F.size(p) == 2) & F.forall(p, lambda t: F.coalesce(F.trim(t), F.lit("")) != ""))
+    return symbols, raw.select(cell, F.explode(pairs).alias("p")).select(cell, X.normalize_tag(F.col("p")[0]).alias("a_tag"), X.normalize_tag(F.col("p")[1]).alias("b_tag"))
+
+
 def unobstructed(symbols: DataFrame, near: float = PASS_NEAR, cell: str = "drawing") -> DataFrame:
     """Pairs a < b of symbols of one drawing without a third centre within ``near`` of the segment's inner part.
 

@@ -128,11 +128,10 @@ def save(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def load(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """The snapshot; an empty graph where there is none."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
+    """The snapshot; an empty graph where neither of its tables is there.  Anything else that keeps it from being read is
+    an error, so that no graph is lost to a failing store."""
+    from ..sources.writers import exists
 
-    try:
-        return tuple(spark.read.schema(s).parquet(f"{path}/{name}").select(*s.names) for name, s in (("nodes", NODES), ("edges", EDGES)))
-    except (AnalysisException, Py4JJavaError):
+    if not any(exists(spark, f"{path}/{name}") for name in ("nodes", "edges")):
         return spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)
+    return tuple(spark.read.schema(s).parquet(f"{path}/{name}").select(*s.names) for name, s in (("nodes", NODES), ("edges", EDGES)))

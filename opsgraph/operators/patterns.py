@@ -109,5 +109,5 @@ def observed_in(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def timeline(events: DataFrame) -> DataFrame:
-    """Dated events in order of asset, day and id: sorted codes, text of 90 characters."""
-    return events.where("day is not null").select("asset", "event_id", "kind", "day", F.sort_array("codes").alias("codes"), F.substring("text", 1, 90).alias("text")).orderBy("asset", "day", "event_id")
+    """Events in order of asset, day (those without one first) and id: sorted codes, text of 90 characters."""
+    return events.select("asset", "event_id", "kind", "day", F.sort_array("codes").alias("codes"), F.substring("text", 1, 90).alias("text")).orderBy("asset", F.asc_nulls_first("day"), "event_id")

@@ -6,21 +6,15 @@ to the shared checkpoint folder, which cuts the lineage and survives lost execut
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import scratch_folder
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the folder is the session's, or a temporary one where none is set and Spark runs on one
-    machine."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="opsgraph-"))
+    """A reliable checkpoint in the folder that driver and executors share."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -105,23 +99,36 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def communities(nodes: DataFrame, edges: DataFrame, steps: int = 10) -> DataFrame:
     """``key``, ``community`` by weighted label propagation: each node takes the label with the most edges to it, of
-    equals the smallest, nodes of even and odd hash in turn so that labels settle; finer than components, and a seed
-    isn't needed."""
+    equals the smallest, nodes of even and odd hash (first digit of the key's MD5) in turn so that labels settle; finer
+    than components, and a seed isn't needed.  It ends when neither half changes, or after ``steps``."""
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
     labels = checkpointed(nodes.select("key", F.col("key").alias("community")).distinct())
+    still = 0
     for step in range(steps):
         votes = both.join(labels.select(F.col("key").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("m"), "community")).alias("best"))
-        turn = F.pmod(F.xxhash64("key"), F.lit(2)) == step % 2
+        turn = F.conv(F.substring(F.md5("key"), 1, 1), 16, 10).cast("int") % 2 == step % 2
         new = labels.join(best.select(F.col("a").alias("key"), F.col("best.community").alias("now")), "key", "left")
         new = checkpointed(new.select("key", F.when(turn, F.coalesce("now", "community")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")))
-        still = new.where("community <> old").isEmpty()
+        still = still + 1 if new.where("community <> old").isEmpty() else 0
         labels = new.drop("old")
-        if still and step:
+        if still == 2:
             break
     return labels
 
 
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Newman's modularity of an undirected graph's communities (``key``, ``community``); loops are left out."""
+    inside = edges.where("source <> target").select("source", "target")
+    at = lambda c: labels.select(F.col("key").alias(c), F.col("community").alias(f"{c}_community"))
+    ends = inside.join(at("source"), "source").join(at("target"), "target")
+    same = ends.agg(F.count("*").alias("m"), F.count_if(F.col("source_community") == F.col("target_community")).alias("same")).first()
+    if not same.m:
+        return 0.0
+    degree = ends.select(F.explode(F.array("source_community", "target_community")).alias("c")).groupBy("c").agg(F.count("*").alias("d"))
+    return same.same / same.m - degree.agg(F.sum((F.col("d") / (2.0 * same.m)) ** 2)).first()[0]
+
+
 def describe(members: DataFrame) -> DataFrame:
     """Of rows ``community``, ``type``, ``label``: id by size (largest first), size, summary (types sorted, six labels
     of each, distinct and sorted)."""

@@ -14,13 +14,21 @@ from .graph import provenance
 def fuzzy_tags(tags: DataFrame, known: DataFrame) -> DataFrame:
     """``tag``, ``match``: the first known tag (by ``ord``, then name) with the same prefix and at most one edit.
 
-    The prefix blocks the join: tags are only compared with tags of their prefix and of about their length."""
-    left = tags.select("tag", X.tag_prefix("tag").alias("prefix")).distinct()
-    right = known.select(F.col("tag").alias("match"), "ord", X.tag_prefix("tag").alias("prefix"))
-    met = left.join(right, "prefix").where(X.within_one_edit(F.col("tag"), F.col("match")))
+    Tags within one edit are equal once a character (or none) is taken out of each, so they are joined on prefix and
+    what is left of them, a row for each character; tags that are far apart don't meet."""
+    left = tags.select("tag", X.tag_prefix("tag").alias("prefix")).distinct().select("*", F.explode(_shortened("tag")).alias("left"))
+    right = known.select(F.col("tag").alias("match"), "ord", X.tag_prefix("tag").alias("prefix")).select("*", F.explode(_shortened("match")).alias("left"))
+    met = left.join(right, ["prefix", "left"]).where(X.within_one_edit(F.col("tag"), F.col("match")))
     return met.groupBy("tag").agg(F.min(F.struct("ord", "match")).alias("b")).select("tag", F.col("b.match").alias("match"))
 
 
+def _shortened(tag: str):
+    """A tag, and the tag without each of its characters."""
+    t = F.col(tag)
+    without = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    return F.array_distinct(F.concat(F.array(t), without))
+
+
 def resolve_tags(extracted: DataFrame, known: DataFrame) -> DataFrame:
     """``doc_id``, ``pos``, ``tag``, ``final``: exact match, else the first fuzzy one among known tags and the new tags that
     stand before it in the document, else itself.

@@ -1,25 +1,61 @@
 """Continuous ingest and alerts.
 
 Every micro-batch of notes or work orders is extracted, merged into the snapshot and recorded as one row of the deltas
-table.  A batch that is repeated after a failure writes the same version, so keys are merged once.
+table.  Several streams of one driver may share a folder: their commits take turns, each makes the next version out of
+the last committed one, and a batch that is repeated after a failure is recognised by its stream and number and changes
+nothing.
 """
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract, graph
 from ..sources import writers
 
+_locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
+
+
+def commits(spark: SparkSession, folder: str) -> list[tuple[int, str, int]]:
+    """(version, stream, batch) of what is committed, in order: a name in a folder each."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/commits")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return sorted((int(v), kind, int(batch)) for v, kind, batch in (n.split("~") for n in names if "~" in n))
+
+
+def current(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The last committed graph."""
+    done = commits(spark, folder)
+    return graph.load(spark, f"{folder}/v{done[-1][0]}" if done else f"{folder}/none")
+
 
 def merge_batch(spark: SparkSession, folder: str, new_nodes: DataFrame, new_edges: DataFrame, batch: int, kind: str) -> None:
-    """The snapshot ``folder/v<batch>`` out of the one before and a delta; a row of counts into ``folder/deltas``."""
-    before = f"{folder}/v{batch - 1}"
-    nodes, edges = graph.load(spark, before)
-    merged_nodes, merged_edges, counts = graph.apply_delta(nodes, edges, new_nodes, new_edges)
-    graph.save(merged_nodes, merged_edges, f"{folder}/v{batch}")
-    writers.append_deltas(counts.select(F.lit(batch).alias("batch"), F.lit(kind).alias("kind"), "nodes_added", "edges_added"), f"{folder}/deltas")
+    """The next version out of the last one and a delta, a row of counts into ``folder/deltas``, then the commit; what
+    a failed attempt left behind is written over."""
+    with _locks[folder]:
+        done = commits(spark, folder)
+        if (kind, batch) in {(k, b) for _, k, b in done}:
+            return
+        nodes, edges = current(spark, folder)
+        version = done[-1][0] + 1 if done else 0
+        merged_nodes, merged_edges, counts = graph.apply_delta(nodes, edges, new_nodes, new_edges)
+        graph.save(merged_nodes, merged_edges, f"{folder}/v{version}")
+        writers.write_deltas(counts.select(F.lit(batch).alias("batch"), F.lit(kind).alias("kind"), "nodes_added", "edges_added"), f"{folder}/deltas", f"{kind}-{batch}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/commits/{version:09d}~{kind}~{batch}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(path)
+
+
+def feed(spark: SparkSession, folder: str, out: str, trigger: dict | None = None):
+    """A query that sends each new delta on as JSON lines in ``out``; who joins later reads :func:`writers.messages`."""
+    schema = "batch int, kind string, nodes_added long, edges_added long, at timestamp"
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/deltas/*")
+    lines = rows.select(F.to_json(F.struct(F.lit("delta").alias("kind"), F.col("kind").alias("source"), "batch", "nodes_added", "edges_added")).alias("value"))
+    return lines.writeStream.format("text").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def _graph_columns(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
