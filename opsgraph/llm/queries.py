@@ -109,4 +109,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_license_scan, op4_pii, op5_sharding, op6_suffix_dedup, op7_secret_scan, op8_fingerprints, op9_sentencepiece, op10_decontamination, lang_pages)}
-ORACLE_SQL: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: What SQL can say as a whole.  Rules with offsets, trained models, merges and draws of a permutation are held against
+#: plain versions by tests instead.
+ORACLE_SQL: dict[str, str] = {
+    # All pairs with a shingle in common, then everything reachable over the linked ones.
+    "op1_minhash_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+  n AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS same FROM s GROUP BY doc_id), r AS MATERIALIZED (SELECT same, min(doc_id) AS id, any_value(n) AS n FROM n GROUP BY same),
+  t AS MATERIALIZED (SELECT r.id, r.n, s.s FROM r JOIN s ON s.doc_id = r.id), c AS (SELECT a.id AS x, b.id AS y, count(*) AS c, any_value(a.n) + any_value(b.n) AS total FROM t a JOIN t b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id),
+  e AS MATERIALIZED (SELECT x, y FROM c WHERE 100 * c >= 85 * (total - c)), u AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), reach AS (SELECT DISTINCT x AS id, x AS other FROM u UNION SELECT reach.id, u.y FROM reach JOIN u ON u.x = reach.other),
+  k AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.component, r.id, d.doc_id) AS component_id, d.doc_id = coalesce(k.component, r.id, d.doc_id) AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.same = n.same LEFT JOIN k ON k.id = r.id""",
+    # All windows of 200 bytes by their MD5, in hexadecimal; texts are cut first, as substr walks from the start.
+    "op6_suffix_dedup": """WITH h AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), p AS (SELECT doc_id, k * 500 AS base, substr(h, k * 1000 + 1, 1398) AS part FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 499) // 500)) AS k FROM h)),
+  w AS MATERIALIZED (SELECT doc_id, base + i AS place, md5(substr(part, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, base, part, unnest(range(0, least(500, length(part) // 2 - 199))) AS i FROM p)),
+  again AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1), r AS (SELECT doc_id, place FROM w SEMI JOIN again USING (m)),
+  g AS (SELECT doc_id, place, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM (SELECT doc_id, place, CASE WHEN place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) <= 200 THEN 0 ELSE 1 END AS fresh FROM r)),
+  x AS MATERIALIZED (SELECT doc_id, min(place) AS a, max(place) + 200 AS b FROM g GROUP BY doc_id, run), y AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM x GROUP BY doc_id),
+  kept AS (SELECT doc_id, a AS upto, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM (SELECT doc_id, a, b FROM x UNION ALL SELECT doc_id, length(h) // 2, NULL FROM h)),
+  z AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (upto - since)), '' ORDER BY since) AS left_over FROM kept JOIN h USING (doc_id) GROUP BY doc_id)
+  SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(left_over)) AS kept_sha256 FROM h JOIN z USING (doc_id) LEFT JOIN y USING (doc_id)""",
+}
