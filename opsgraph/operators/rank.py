@@ -35,9 +35,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: list[str], damping: floa
     state = state.join(degree.select(F.col("source").alias("key"), F.lit(True).alias("has_out")), "key", "left").select("key", "home", F.coalesce("has_out", F.lit(False)).alias("has_out"))
     state = checkpointed(state.withColumn("score", F.lit(1.0 / total)))
     for step in range(steps):
-        dangling = state.where("not has_out").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        dangling = state.where("not has_out").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("dangling"))  # one row
         sent = weights.join(state.select(F.col("key").alias("source"), "score"), "source").groupBy(F.col("target").alias("key")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        new = state.join(sent, "key", "left").select("key", "home", "has_out", (damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("home")) + (1 - damping) * F.col("home")).alias("score"), F.col("score").alias("old"))
+        new = state.join(sent, "key", "left").crossJoin(F.broadcast(dangling)).select("key", "home", "has_out", (damping * (F.coalesce("got", F.lit(0.0)) + F.col("dangling") * F.col("home")) + (1 - damping) * F.col("home")).alias("score"), F.col("score").alias("old"))
         new = checkpointed(new)
         state = new.drop("old")
         if tolerance is not None and new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < total * tolerance:

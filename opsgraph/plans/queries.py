@@ -296,12 +296,18 @@ def shortest_path(spark, sf_dir):
 
 
 PPR_STEPS = 10
-_ppr = [f"deg AS (SELECT source, count(*) AS out FROM e GROUP BY source), w AS (SELECT source, target, count(*) / any_value(out)::DOUBLE AS share FROM e JOIN deg USING (source) GROUP BY source, target), n AS (SELECT key, CASE WHEN key IN ('WorkOrder:1', 'WorkOrder:2') THEN 0.5::DOUBLE ELSE 0 END AS home, key IN (SELECT source FROM deg) AS has FROM v), s0 AS MATERIALIZED (SELECT key, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM n)"]
-for _k in range(1, PPR_STEPS + 1):
-    _ppr.append(f"s{_k} AS MATERIALIZED (SELECT n.key, 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT sum(score) FROM s{_k - 1} JOIN n m USING (key) WHERE NOT m.has) * home) + 0.15::DOUBLE * home AS score FROM n LEFT JOIN (SELECT target AS key, sum(share * score) AS got FROM w JOIN s{_k - 1} ON key = source GROUP BY target) g ON g.key = n.key)")
 
 
-@query(f"WITH {EDGES_SQL}, {', '.join(_ppr)} SELECT key, round(score, 9) AS score FROM s{PPR_STEPS}")
+def _ppr_sql(seeds: list[str], steps: int) -> str:
+    """Personalized PageRank over the edges ``e`` and nodes ``v``, unrolled: the scores are in ``s<steps>``."""
+    home = f"CASE WHEN key IN ({', '.join(repr(x) for x in seeds)}) THEN {1 / len(seeds)}::DOUBLE ELSE 0 END"
+    parts = [f"deg AS (SELECT source, count(*) AS out FROM e GROUP BY source), w AS (SELECT source, target, count(*) / any_value(out)::DOUBLE AS share FROM e JOIN deg USING (source) GROUP BY source, target), n AS (SELECT key, {home} AS home, key IN (SELECT source FROM deg) AS has FROM v), s0 AS MATERIALIZED (SELECT key, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM n)"]
+    for k in range(1, steps + 1):
+        parts.append(f"s{k} AS MATERIALIZED (SELECT n.key, 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(score), 0) FROM s{k - 1} JOIN n m USING (key) WHERE NOT m.has) * home) + 0.15::DOUBLE * home AS score FROM n LEFT JOIN (SELECT target AS key, sum(share * score) AS got FROM w JOIN s{k - 1} ON key = source GROUP BY target) g ON g.key = n.key)")
+    return ", ".join(parts)
+
+
+@query(f"WITH {EDGES_SQL}, {_ppr_sql(['WorkOrder:1', 'WorkOrder:2'], PPR_STEPS)} SELECT key, round(score, 9) AS score FROM s{PPR_STEPS}")
 def ppr(spark, sf_dir):
     nodes, edges = relational_graph(spark, sf_dir)
     return R.pagerank(nodes, edges, ["WorkOrder:1", "WorkOrder:2", "WorkOrder:none"], V.PPR_DAMPING, PPR_STEPS).select("key", F.round("score", 9).alias("score"))
@@ -440,9 +446,17 @@ def refusal_gate(spark, sf_dir):
     return Q.gate(got, items, known, "item_id", "doc_id")
 
 
-@query()
+@query(f"""WITH {BM25_SQL}, dk AS MATERIALIZED (SELECT doc_id, CAST(doc_id AS VARCHAR) AS chunk_id, text, lang, source FROM documents),
+  e AS MATERIALIZED (SELECT 'Chunk:' || chunk_id AS source, 'MENTIONS' AS type, 'Equipment:' || source AS target FROM dk UNION ALL SELECT 'Chunk:' || chunk_id, 'MENTIONS', 'Procedure:' || lang FROM dk UNION ALL SELECT DISTINCT 'Equipment:' || source, 'CONNECTED_TO', 'Procedure:' || lang FROM dk),
+  v AS (SELECT source AS key FROM e UNION SELECT target FROM e), {_ppr_sql(['Equipment:src1'], 5)},
+  best AS (SELECT key, score FROM s5 WHERE split_part(key, ':', 1) IN ({', '.join(f"'{t}'" for t in V.ENTITY_TYPES)}) ORDER BY score DESC, key LIMIT 15), few AS (SELECT * FROM best ORDER BY score DESC, key LIMIT 12),
+  mt AS (SELECT substr(source, 7) AS chunk_id, target AS key FROM e WHERE type = 'MENTIONS'), hits AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, score FROM sc WHERE item_id = 0 ORDER BY score DESC, chunk_id LIMIT 10),
+  boosted AS (SELECT chunk_id, score * CASE WHEN chunk_id IN (SELECT chunk_id FROM mt JOIN best USING (key)) THEN 2 ELSE 1 END AS score FROM hits),
+  shared AS (SELECT chunk_id, few.score * (1 + n) AS score FROM mt JOIN few USING (key) JOIN (SELECT chunk_id, len(list_intersect({_content_sql('dk.text', V.QUERY_STOP)}, {_content_sql('b.text', V.QUERY_STOP)})) AS n FROM dk, benchmark b WHERE b.item_id = 0) USING (chunk_id) WHERE n > 0)
+  SELECT chunk_id, round(sum(score), 6) AS score FROM (SELECT * FROM boosted UNION ALL SELECT * FROM shared) GROUP BY chunk_id ORDER BY sum(score) DESC, chunk_id LIMIT 8""")
 def multihop(spark, sf_dir):
-    """One question over documents as chunks, languages and sources as the entities that they mention; loops have no SQL."""
+    """One question over documents as chunks, languages and sources as the entities that they mention; the best eight
+    chunks are the feature."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", "lang", "source")
     asked = table(spark, sf_dir, "benchmark").where("item_id = 0")
     mention = lambda kind, c: docs.select(F.concat(F.lit("Chunk:"), "chunk_id").alias("source"), F.lit("MENTIONS").alias("type"), F.concat(F.lit(f"{kind}:"), c).alias("target"))
