@@ -105,10 +105,3 @@ def test_communities_have_modularity(spark):
     assert sorted(map(sorted, groups.values())) == [["a"], ["b"], ["c"]]
     assert abs(rank.modularity(e, found) - (30 / 33 - 3 * (22 / 66) ** 2)) < 1e-9
     assert rank.modularity(e.limit(0), found) == 0.0
-
-
-def test_timeline_has_undated_events_first(spark):
-    from opsgraph.operators import patterns
-
-    rows = spark.createDataFrame([("a", 1, "WorkOrder", "2024-01-02", ["x"], "t"), ("a", 2, "WorkOrder", None, [], "u")], "asset string, event_id int, kind string, day string, codes array<string>, text string")
-    assert [r.event_id for r in patterns.timeline(rows.withColumn("day", F.to_date("day"))).collect()] == [2, 1]
