@@ -98,23 +98,31 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def communities(nodes: DataFrame, edges: DataFrame, steps: int = 10) -> DataFrame:
-    """``key``, ``community`` by weighted label propagation: each node takes the label with the most edges to it, of
-    equals the smallest, nodes of even and odd hash (first digit of the key's MD5) in turn so that labels settle; finer
-    than components, and a seed isn't needed.  It ends when neither half changes, or after ``steps``."""
+    """``key``, ``community`` by moving nodes where modularity grows most, as Louvain's method does on its first level:
+    a node goes to the community with the largest 2m * (edges to it) - degree * (its degrees), if that is more than where
+    it is (of equals the smallest label).
+
+    In each step another half of the nodes may move (by a digit of the key's MD5), so that neighbours don't swap places
+    for ever.  It ends when no node would move, or after ``steps``."""
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
-    labels = checkpointed(nodes.select("key", F.col("key").alias("community")).distinct())
-    still = 0
+    degree = both.groupBy("a").agg(F.sum("w").alias("k")).select(F.col("a").alias("key"), "k")
+    labels = checkpointed(nodes.select("key", F.col("key").alias("community")).distinct().join(degree, "key", "left").select("key", "community", F.coalesce("k", F.lit(0)).alias("k")))
+    doubled = labels.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     for step in range(steps):
-        votes = both.join(labels.select(F.col("key").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("m"), "community")).alias("best"))
-        turn = F.conv(F.substring(F.md5("key"), 1, 1), 16, 10).cast("int") % 2 == step % 2
-        new = labels.join(best.select(F.col("a").alias("key"), F.col("best.community").alias("now")), "key", "left")
-        new = checkpointed(new.select("key", F.when(turn, F.coalesce("now", "community")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")))
-        still = still + 1 if new.where("community <> old").isEmpty() else 0
-        labels = new.drop("old")
-        if still == 2:
+        totals = labels.groupBy("community").agg(F.sum("k").alias("total"))
+        near = both.join(labels.select(F.col("key").alias("b"), "community"), "b").groupBy(F.col("a").alias("key"), "community").agg(F.sum("w").alias("w"))
+        votes = near.unionByName(labels.select("key", "community", F.lit(0).cast("bigint").alias("w"))).groupBy("key", "community").agg(F.sum("w").alias("w"))
+        gains = votes.join(labels.select("key", "k", F.col("community").alias("own")), "key").join(totals, "community")
+        stays = F.col("community") == F.col("own")
+        gains = gains.select("key", "community", "own", "k", stays.alias("stays"), (doubled * F.col("w") - F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0))).alias("gain"))
+        best = gains.groupBy("key", "own", "k").agg(F.min(F.struct((-F.col("gain")).alias("minus"), (~F.col("stays")).alias("away"), "community")).alias("best"))
+        turn = F.conv(F.substring(F.md5("key"), step % 32 + 1, 1), 16, 10).cast("int") % 2 == 0
+        new = checkpointed(best.select("key", F.when(turn, F.col("best.community")).otherwise(F.col("own")).alias("community"), "k", (F.col("best.community") != F.col("own")).alias("moves")))
+        settled = new.where("moves").isEmpty()
+        labels = new.drop("moves")
+        if settled:
             break
-    return labels
+    return labels.select("key", "community")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:

@@ -319,10 +319,11 @@ def components(spark, sf_dir):
     return R.components(*relational_graph(spark, sf_dir))
 
 
-_steps = ["c0 AS MATERIALIZED (SELECT key, key AS community FROM v)"]
+_steps = ["c0 AS MATERIALIZED (SELECT v.key, v.key AS community, coalesce(k, 0) AS k FROM v LEFT JOIN (SELECT a AS key, sum(w)::BIGINT AS k FROM uw GROUP BY a) USING (key)), mm AS MATERIALIZED (SELECT sum(k)::BIGINT AS doubled FROM c0)"]
 for _k in range(6):
-    _steps.append(f"""b{_k} AS MATERIALIZED (SELECT a, community AS now FROM (SELECT uw.a, c.community, sum(uw.w) AS w FROM uw JOIN c{_k} c ON c.key = uw.b GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, community) = 1),
-  c{_k + 1} AS MATERIALIZED (SELECT c.key, CASE WHEN ('0x' || substr(md5(c.key), 1, 1))::INTEGER % 2 = {_k % 2} THEN coalesce(now, community) ELSE community END AS community FROM c{_k} c LEFT JOIN b{_k} ON a = c.key)""")
+    _steps.append(f"""b{_k} AS MATERIALIZED (SELECT x.key, x.community AS now FROM (SELECT key, community, sum(w)::BIGINT AS w FROM (SELECT uw.a AS key, c.community, uw.w FROM uw JOIN c{_k} c ON c.key = uw.b UNION ALL SELECT key, community, 0 FROM c{_k}) GROUP BY ALL) x JOIN c{_k} o ON o.key = x.key
+    JOIN (SELECT community, sum(k)::BIGINT AS total FROM c{_k} GROUP BY community) t ON t.community = x.community, mm QUALIFY row_number() OVER (PARTITION BY x.key ORDER BY doubled * w - o.k * (total - CASE WHEN x.community = o.community THEN o.k ELSE 0 END) DESC, x.community <> o.community, x.community) = 1),
+  c{_k + 1} AS MATERIALIZED (SELECT c.key, CASE WHEN ('0x' || substr(md5(c.key), {_k + 1}, 1))::INTEGER % 2 = 0 THEN now ELSE community END AS community, k FROM c{_k} c JOIN b{_k} USING (key))""")
 
 
 @query(f"""WITH {EDGES_SQL}, uw AS MATERIALIZED (SELECT a, b, count(*) AS w FROM (SELECT source AS a, target AS b FROM e UNION ALL SELECT target, source FROM e) WHERE a <> b GROUP BY ALL), {', '.join(_steps)},
@@ -331,7 +332,7 @@ for _k in range(6):
   g AS (SELECT community, sum(n)::BIGINT AS size, string_agg(type || ': ' || l, '; ' ORDER BY type) AS summary FROM t GROUP BY community)
   SELECT CAST(row_number() OVER (ORDER BY size DESC, community) AS INTEGER) AS id, community, size, summary FROM g""")
 def communities(spark, sf_dir):
-    """Six steps of label propagation, described."""
+    """Six steps of moves that raise modularity, described."""
     nodes, edges = relational_graph(spark, sf_dir)
     found = R.communities(nodes, edges, steps=6)
     named = found.join(nodes.select("key", "type", X.label(F.col("props"), F.col("key")).alias("label")), "key")
