@@ -64,3 +64,6 @@ ENTITY_TYPES = ["Equipment", "FailureMode", "WorkOrder", "Incident", "Procedure"
 CLAUSE_COVERED, CLAUSE_PARTIAL, CLAUSE_GENERAL = 0.5, 0.25, 0.3
 PRECURSOR_DAYS, PATTERN_EVENTS, PRECURSOR_SHARE = 30, 3, 0.5
 EMBEDDING_SIZE, CHUNK_CHARS, RRF_CONSTANT, PPR_DAMPING = 768, 700, 60, 0.85
+
+#: The class of a drawing's symbol to the type of its equipment.
+SYMBOL_TYPES = {"pump": "pump", "compressor": "compressor", "vessel": "vessel", "tank": "tank", "heat_exchanger": "heat exchanger", "valve": "control valve", "instrument": "instrument"}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import vocabulary as V
 from .graph import PROVENANCE, provenance
 
 NODE = "struct<type:string,props:map<string,string>,confidence:double,span:string>"
@@ -151,6 +152,19 @@ def inspections(entries: DataFrame) -> DataFrame:
     return entries.where(F.coalesce("equipment", F.lit("")) != "").select(F.concat("doc_id", F.lit("::insp")).alias("chunk_id"), "doc_id", F.lit(1).alias("page"), tag.alias("tag"), text.alias("text"))
 
 
+def inspection_records(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and chunks of inspection entries: the equipment, and the sentence that mentions it."""
+    said = inspections(entries)
+    key, chunk = F.concat(F.lit("Equipment:"), "tag"), F.concat(F.lit("Chunk:"), "chunk_id")
+    stamp, plain = F.array(provenance(F.col("doc_id"), "manifest", 0.9)), F.array(provenance(F.col("doc_id"), "chunker"))
+    shown = F.create_map(F.lit("chunk_id"), "chunk_id", F.lit("doc_id"), "doc_id", F.lit("page"), F.col("page").cast("string"), F.lit("text"), F.substring("text", 1, 500))
+    record = lambda k, kind, props, by: F.struct(k.alias("key"), F.lit(kind).alias("type"), props.alias("props"), by.alias("provenance"))
+    both = F.array(record(key, "Equipment", F.create_map(F.lit("tag"), F.col("tag")), stamp), record(chunk, "Chunk", shown, plain))
+    nodes = said.select(F.posexplode(both).alias("pos", "x"), F.array("doc_id").alias("doc_ids")).select("x.*", "doc_ids", F.col("pos").cast("long").alias("ord"))
+    edges = said.select(chunk.alias("source"), F.lit("MENTIONS").alias("type"), key.alias("target"), stamp.alias("provenance"), F.lit(0).cast("long").alias("ord"))
+    return nodes, edges, said.select("chunk_id", "doc_id", "page", F.lit(None).cast("int").alias("row"), "text")
+
+
 def notes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and chunks of spoken notes (note_id, transcript, role or null): about every tag and code named."""
     body = F.coalesce("transcript", F.lit(""))
@@ -208,6 +222,25 @@ def normalised_reading(raw: DataFrame, cell: str = "drawing") -> tuple[DataFrame
     return symbols, raw.select(cell, F.explode(pairs).alias("p")).select(cell, X.normalize_tag(F.col("p")[0]).alias("a_tag"), X.normalize_tag(F.col("p")[1]).alias("b_tag"))
 
 
+def drawing_records(symbols: DataFrame, pairs: DataFrame, cell: str = "drawing") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of what drawings show: equipment with the type that its symbol stands for and its box on the
+    sheet, the drawing it is from, and what is connected.
+
+    ``symbols``: drawing (a document's id), tag, cls, bbox; ``pairs``: drawing, a_tag, b_tag; either may name its
+    ``reader`` (geometry otherwise).  Symbols without a tag are left out."""
+    kinds = F.create_map(*[F.lit(x) for pair in V.SYMBOL_TYPES.items() for x in pair])
+    reader = lambda df: F.col("reader") if "reader" in df.columns else F.lit("geometry")
+    order = lambda df: (F.col("pos") if "pos" in df.columns else F.lit(0)).cast("long").alias("ord")
+    key = lambda c: F.concat(F.lit("Equipment:"), X.normalize_tag(c))
+    shown = symbols.where(F.trim(F.coalesce("tag", F.lit(""))) != "")
+    props = F.map_filter(F.create_map(F.lit("tag"), X.normalize_tag("tag"), F.lit("type"), F.try_element_at(kinds, F.coalesce("cls", F.lit("")))), lambda _, v: v.isNotNull())
+    stamp = F.array(provenance(F.col(cell), reader(shown), 0.85, bbox=F.transform("bbox", lambda v: F.round(v, 1))))
+    made = shown.select(key("tag").alias("key"), F.lit("Equipment").alias("type"), props.alias("props"), stamp.alias("provenance"), F.array(F.col(cell)).alias("doc_ids"), order(shown), cell)
+    origin = made.select(F.col("key").alias("source"), F.lit("EXTRACTED_FROM").alias("type"), F.concat(F.lit("Document:"), cell).alias("target"), "provenance", "ord", cell)
+    lines = pairs.select(key("a_tag").alias("source"), F.lit("CONNECTED_TO").alias("type"), key("b_tag").alias("target"), F.array(provenance(F.col(cell), reader(pairs), 0.8)).alias("provenance"), order(pairs), cell)
+    return made, origin.unionByName(lines)
+
+
 def unobstructed(symbols: DataFrame, near: float = PASS_NEAR, cell: str = "drawing") -> DataFrame:
     """Pairs a < b of symbols of one drawing without a third centre within ``near`` of the segment's inner part.
 

@@ -97,17 +97,35 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def communities(nodes: DataFrame, edges: DataFrame, steps: int = 10) -> DataFrame:
-    """``key``, ``community`` by moving nodes where modularity grows most, as Louvain's method does on its first level:
-    a node goes to the community with the largest 2m * (edges to it) - degree * (its degrees), if that is more than where
-    it is (of equals the smallest label).
-
-    In each step another half of the nodes may move (by a digit of the key's MD5), so that neighbours don't swap places
-    for ever.  It ends when no node would move, or after ``steps``."""
+def communities(nodes: DataFrame, edges: DataFrame, steps: int = 10, levels: int = 1) -> DataFrame:
+    """``key``, ``community`` by moving nodes where modularity grows most, as Louvain's method does: a node goes to the
+    community with the largest 2m * (edges to it) - degree * (its degrees), if that is more than where it is (of equals
+    the smallest label).  Each further level takes the communities as nodes, their edges added up, and moves those; it
+    ends after ``levels``, or at a level that moves nothing.  Loops are left out."""
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
     degree = both.groupBy("a").agg(F.sum("w").alias("k")).select(F.col("a").alias("key"), "k")
     labels = checkpointed(nodes.select("key", F.col("key").alias("community")).distinct().join(degree, "key", "left").select("key", "community", F.coalesce("k", F.lit(0)).alias("k")))
     doubled = labels.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    out = None
+    for _ in range(levels):
+        moved = _moved(both, labels, doubled, steps)
+        higher = moved.select(F.col("key").alias("community"), F.col("community").alias("now"))
+        out = moved.select("key", "community") if out is None else checkpointed(out.join(higher, "community").select("key", F.col("now").alias("community")))
+        if levels == 1 or moved.where("key <> community").isEmpty():
+            break
+        end = lambda c: moved.select(F.col("key").alias(c), F.col("community").alias(f"{c}_now"))  # noqa: E731, B023
+        both = both.join(end("a"), "a").join(end("b"), "b").where("a_now <> b_now").groupBy(F.col("a_now").alias("a"), F.col("b_now").alias("b")).agg(F.sum("w").alias("w"))
+        both = checkpointed(both)
+        labels = checkpointed(moved.groupBy("community").agg(F.sum("k").alias("k")).select(F.col("community").alias("key"), "community", "k"))
+    return out
+
+
+def _moved(both: DataFrame, labels: DataFrame, doubled: int, steps: int) -> DataFrame:
+    """``labels`` (key, community, k: its degree) after the moves of one level, over the edges ``both`` (a, b, w: both
+    directions, no loops) of a graph whose degrees sum up to ``doubled``.
+
+    In each step another half of the nodes may move (by a digit of the key's MD5), so that neighbours don't swap places
+    for ever.  It ends when no node would move, or after ``steps``."""
     for step in range(steps):
         totals = labels.groupBy("community").agg(F.sum("k").alias("total"))
         near = both.join(labels.select(F.col("key").alias("b"), "community"), "b").groupBy(F.col("a").alias("key"), "community").agg(F.sum("w").alias("w"))
@@ -122,7 +140,7 @@ def communities(nodes: DataFrame, edges: DataFrame, steps: int = 10) -> DataFram
         labels = new.drop("moves")
         if settled:
             break
-    return labels.select("key", "community")
+    return labels
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:

@@ -6,6 +6,8 @@ is in ``ord``, the place in the manifest and in the document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,10 @@ from ..operators import graph as G
 from ..operators import resolve as M
 from ..operators.rank import checkpointed
 
-STEP = 1_000_000
+#: Orders within one document are below this.
+STEP = 1 << 40
+#: Types of documents that are read as prose.
+PROSE = ["sop", "incident", "regulatory"]
 
 
 def index_chunks(documents: DataFrame) -> DataFrame:
@@ -55,6 +60,40 @@ def add_prose(nodes: DataFrame, edges: DataFrame, documents: DataFrame) -> tuple
     return *G.apply_delta(nodes, edges, entries.unionByName(new_nodes), new_edges), chunks
 
 
+def build(entries: DataFrame, pages: DataFrame, work_orders: dict[str, DataFrame] | None = None, notes: DataFrame | None = None, drawings: tuple[DataFrame, DataFrame] | None = None, lexicon: dict[str, str] | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The graph of a whole manifest, on top of ``nodes`` and ``edges`` if there are any: nodes, edges, one row of the
+    counts of new ones, and chunks (chunk_id, doc_id, page, row, text).
+
+    ``entries`` as the manifest reader gives them; ``pages``: doc_id, pages; ``work_orders``: rows by document id;
+    ``notes``: note_id (the document's id), transcript; ``drawings``: symbols and pairs, with the document's id as
+    ``drawing``.  What isn't in the manifest is left out.  Tables, notes, inspections and drawings name their assets
+    exactly, so they go first and prose is resolved against all of them."""
+    spark = entries.sparkSession
+    nodes = nodes if nodes is not None else spark.createDataFrame([], G.NODES)
+    edges = edges if edges is not None else spark.createDataFrame([], G.EDGES)
+    place = entries.select("doc_id", (F.col("pos").cast("long") * STEP).alias("base"))
+    parts = [E.inspection_records(entries.where("doc_type = 'inspection'")), *(E.work_orders(rows, doc_id, lexicon or {}) for doc_id, rows in (work_orders or {}).items())]
+    if notes is not None:
+        said = E.notes(notes if "role" in notes.columns else notes.withColumn("role", F.lit(None).cast("string")))
+        parts.append((*(df.withColumn("ord", F.col("ord") % 1000) for df in said[:2]), said[2]))
+    if drawings is not None:
+        parts.append((*E.drawing_records(*drawings), spark.createDataFrame([], "chunk_id string, doc_id string, page int, row int, text string")))
+
+    def placed(listed: list[DataFrame], names: list[str]) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, [df.select(*names) for df in listed]).withColumn("doc_id", F.col("provenance")[0]["doc_id"])
+        return rows.join(place, "doc_id").withColumn("ord", F.col("base") + F.col("ord")).select(*names)
+
+    documents = E.document_nodes(entries).withColumn("ord", F.lit(0).cast("long"))
+    new_nodes, new_edges = placed([documents, *(n for n, _, _ in parts)], G.NODES.names), placed([e for _, e, _ in parts], G.EDGES.names)
+    nodes, edges, first = map(checkpointed, G.apply_delta(nodes, edges, new_nodes, new_edges))
+    found, links, chunks = prose(entries.where(F.col("doc_type").isin(PROSE)).join(pages, "doc_id").select("pos", "doc_id", "doc_type", "pages"), nodes)
+    nodes, edges, second = G.apply_delta(nodes, edges, found, links)
+    counts = first.unionByName(second).agg(F.sum("nodes_added").alias("nodes_added"), F.sum("edges_added").alias("edges_added"))
+    columns = ["chunk_id", "doc_id", "page", "row", "text"]
+    told = reduce(DataFrame.unionByName, [c.select(*columns) for _, _, c in parts]).join(place.select("doc_id"), "doc_id", "left_semi")
+    return nodes, edges, counts, told.select(*columns).unionByName(chunks.withColumn("row", F.lit(None).cast("int")).select(*columns))
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """Rows with ``pos`` from 0 by file order or the given columns, within a manifest (some thousand entries)."""
     return rows if "pos" in rows.columns else rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)

@@ -105,3 +105,29 @@ def test_communities_have_modularity(spark):
     assert sorted(map(sorted, groups.values())) == [["a"], ["b"], ["c"]]
     assert abs(rank.modularity(e, found) - (30 / 33 - 3 * (22 / 66) ** 2)) < 1e-9
     assert rank.modularity(e.limit(0), found) == 0.0
+
+
+def test_levels_of_communities(spark):
+    """Further levels join whole communities and raise modularity; they end by themselves."""
+    pairs = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(39)]
+    e = edges(spark, [(a, "CONNECTED_TO", b, []) for a, b in pairs])
+    n = nodes(spark, [(f"n{k:02d}", "Equipment", {}, []) for k in range(40)] + [("alone", "Equipment", {}, [])])
+    one, more = ({r.key: r.community for r in rank.communities(n, e, steps=8, levels=k).collect()} for k in (1, 6))
+    assert set(one) == set(more) and more["alone"] == "alone"
+    assert len({(one[k], more[k]) for k in one}) == len(set(one.values())) > len(set(more.values()))
+    at = lambda found: rank.modularity(e, spark.createDataFrame(list(found.items()), "key string, community string"))
+    assert at(more) > at(one) + 0.05
+    same = {r.key: r.community for r in rank.communities(n, e.limit(0), levels=3).collect()}
+    assert same == {k: k for k in one}
+
+
+def test_drawing_records(spark):
+    symbols = spark.createDataFrame([("D9", 0, "p101a", "pump", [1.04, 2.0, 3.0, 4.06]), ("D9", 1, "FV-112", "odd", None), ("D9", 2, " ", "tank", None)], "drawing string, pos int, tag string, cls string, bbox array<double>")
+    pairs = spark.createDataFrame([("D9", "p101a", "fv112", "llm_vision")], "drawing string, a_tag string, b_tag string, reader string")
+    n, e = extract.drawing_records(symbols, pairs)
+    got = {r.key: r for r in n.collect()}
+    assert set(got) == {"Equipment:P-101A", "Equipment:FV-112"}
+    assert got["Equipment:P-101A"].props == {"tag": "P-101A", "type": "pump"} and got["Equipment:FV-112"].props == {"tag": "FV-112"}
+    stamp = got["Equipment:P-101A"].provenance[0]
+    assert (stamp.doc_id, stamp.extractor, stamp.confidence, stamp.bbox) == ("D9", "geometry", 0.85, [1.0, 2.0, 3.0, 4.1])
+    assert {(r.source, r.type, r.target, r.provenance[0].extractor) for r in e.collect()} == {("Equipment:P-101A", "EXTRACTED_FROM", "Document:D9", "geometry"), ("Equipment:FV-112", "EXTRACTED_FROM", "Document:D9", "geometry"), ("Equipment:P-101A", "CONNECTED_TO", "Equipment:FV-112", "llm_vision")}

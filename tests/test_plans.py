@@ -41,3 +41,30 @@ def test_sql_functions(spark):
     rows = spark.sql("select * from extract_entities('P101A, p-101a, SOP-17 and L-99')").collect()
     assert [tuple(x) for x in rows] == [("Equipment", "P-101A"), ("Procedure", "SOP-17")]
     assert spark.createDataFrame([("P-1 P-22",)], "t string").select(F.size(F.split("t", " "))).first()[0] == 2
+
+
+def test_build_and_evaluate(spark):
+    """A manifest of every kind of document becomes one graph; built again it adds nothing; the report has all parts."""
+    from opsgraph.plans import evaluate
+
+    rows = [(0, "D1", "sop", None, None), (1, "W1", "work_order", None, None), (2, "D3", "incident", None, None), (3, "I1", "inspection", "p101a", True), (4, "VN-1", "voice_note", None, None), (5, "D9", "pnid", None, None)]
+    entries = spark.createDataFrame(rows, "pos int, doc_id string, doc_type string, equipment string, overdue boolean")
+    pages = spark.createDataFrame([("D1", [SOP]), ("D3", [INCIDENT]), ("D8", ["not in the manifest, P-900"])], "doc_id string, pages array<string>")
+    orders = spark.createDataFrame([(0, "WO-1", "2024-01-02", "V-12", "Corrective", "seal leakage", "replaced", "Jo Doe")], "row int, WO_ID string, Date string, Equipment_Tag string, Type string, Problem_Text string, Action_Text string, Technician string")
+    notes = spark.createDataFrame([("VN-1", "P-101A has vibration"), ("VN-2", "T-500 isn't known")], "note_id string, transcript string")
+    drawings = spark.createDataFrame([("D9", "p101a", "pump", [1.0, 2.0, 3.0, 4.0])], "drawing string, tag string, cls string, bbox array<double>"), spark.createDataFrame([("D9", "P-101A", "V-12")], "drawing string, a_tag string, b_tag string")
+    n, e, counts, chunks = map(rank.checkpointed, ingest.build(entries, pages, {"W1": orders}, notes, drawings))
+    got, links = {r.key: r for r in n.collect()}, {(r.source, r.type, r.target) for r in e.collect()}
+    assert {f"Document:{r[1]}" for r in rows} | {"Procedure:SOP-17", "WorkOrder:WO-1", "TacitNote:VN-1", "Chunk:I1::insp", "Incident:INC-2022-014"} <= set(got)
+    assert not {"Equipment:P-900", "Equipment:T-500", "TacitNote:VN-2"} & set(got)
+    assert got["Equipment:P-101A"].props["type"] == "pump" and {"D1", "D3", "D9", "I1"} <= set(got["Equipment:P-101A"].doc_ids)
+    assert {("Equipment:P-101A", "CONNECTED_TO", "Equipment:V-12"), ("WorkOrder:WO-1", "PERFORMED_ON", "Equipment:V-12"), ("Procedure:SOP-17", "GOVERNS", "Equipment:P-101A"), ("Chunk:I1::insp", "MENTIONS", "Equipment:P-101A")} <= links
+    assert counts.first().edges_added == len(links) and {r.doc_id for r in chunks.collect()} == {"D1", "W1", "D3", "I1", "VN-1"}
+    again = ingest.build(entries, pages, {"W1": orders}, notes, drawings, nodes=n, edges=e)
+    assert tuple(again[2].first()) == (0, 0)
+    gold = spark.createDataFrame([("Equipment", "Equipment:P-101A"), ("Equipment", "Equipment:X-1")], "type string, key string")
+    gold_edges = spark.createDataFrame([("PERFORMED_ON", "WorkOrder:WO-1", "Equipment:V-12")], "type string, source string, target string")
+    asked = spark.createDataFrame([("T1", "What vibration has pump P-101A", ["vibration"], ["VN-1", "D3"])], "tier string, question string, expects array<string>, docs array<string>")
+    verdicts = spark.createDataFrame([("7.3", "GAP", 0.0, None)], "clause string, verdict string, coverage double, procedure string")
+    told = evaluate.report(A.Corpus(n, e, chunks), gold, gold_edges, asked, verdicts, {"vector_only": {"baseline": True}})
+    assert "| node | Equipment | 2 | 1 | 50.0 |" in told and "| edge | PERFORMED_ON | 1 | 1 | 100.0 |" in told and "| T1 | vector_only | 100.0 | 100.0 |" in told and "## Linkage" in told
