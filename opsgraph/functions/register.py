@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .vocabulary import EQUIPMENT_PREFIXES
+
 #: SQL functions whose bodies are expressions, so that Catalyst inlines them.
 SQL_FUNCTIONS = {
     "tag_prefix": ("tag STRING", "STRING", "regexp_extract(tag, '^[^0-9]*', 0)"),
@@ -19,13 +21,22 @@ SQL_FUNCTIONS = {
     ),
 }
 
+#: Tags and ids of a text, a row each: the body of a table function, so that Catalyst inlines this as well.
+ENTITIES = (
+    "SELECT inline(concat(transform(array_distinct(filter(transform(regexp_extract_all(coalesce(t, ''), '\\\\b[A-Za-z]{1,3}[- ]?\\\\d{2,4}[A-Za-z]?\\\\b', 0), "
+    "x -> concat(upper(regexp_extract(x, '^([A-Za-z]+)', 1)), '-', regexp_extract(x, '(\\\\d+)', 1), upper(regexp_extract(x, '\\\\d([A-Za-z])$', 1)))), "
+    f"x -> substring_index(x, '-', 1) IN ({', '.join(repr(p) for p in EQUIPMENT_PREFIXES)}))), x -> named_struct('kind', 'Equipment', 'value', x)), "
+    "transform(array_distinct(transform(regexp_extract_all(coalesce(t, ''), '(?i)\\\\b(?:SOP-\\\\d+|INC-\\\\d{4}-\\\\d+|WO-\\\\d+)\\\\b', 0), x -> upper(x))), "
+    "x -> named_struct('kind', CASE left(x, 1) WHEN 'S' THEN 'Procedure' WHEN 'I' THEN 'Incident' ELSE 'WorkOrder' END, 'value', x))))"
+)
+
 
 def register(spark: SparkSession, llm=None) -> None:
     """Temporary functions of the session.  ``llm``, a function from a list of texts to a list of JSON strings, becomes
     the batched function ``llm_extract``; without one there is none (rules are the default)."""
     for name, (parameters, returns, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {body}")
-    spark.udtf.register("extract_entities", _entities())
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION extract_entities(t STRING) RETURNS TABLE(kind STRING, value STRING) RETURN {ENTITIES}")
     if llm is not None:
 
         @F.pandas_udf("string")
@@ -33,29 +44,3 @@ def register(spark: SparkSession, llm=None) -> None:
             return pd.Series(llm(texts.fillna("").tolist()))
 
         spark.udf.register("llm_extract", extracted)
-
-
-def _entities():
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="kind string, value string")
-    class Entities:
-        """Tags and ids of a text, a row each: for ad-hoc SQL; plans use the column functions."""
-
-        def eval(self, text: str):
-            import re
-
-            from .vocabulary import EQUIPMENT_PREFIXES
-
-            seen = set()
-            for m in re.finditer(r"\b([A-Za-z]{1,3})[- ]?(\d{2,4})([A-Za-z])?\b", text or ""):
-                tag = f"{m[1].upper()}-{m[2]}{(m[3] or '').upper()}"
-                if m[1].upper() in EQUIPMENT_PREFIXES and tag not in seen:
-                    seen.add(tag)
-                    yield "Equipment", tag
-            for m in re.finditer(r"\b(SOP-\d+|INC-\d{4}-\d+|WO-\d+)\b", text or "", re.I):
-                if m[0].upper() not in seen:
-                    seen.add(m[0].upper())
-                    yield {"S": "Procedure", "I": "Incident", "W": "WorkOrder"}[m[0][0].upper()], m[0].upper()
-
-    return Entities

@@ -40,6 +40,8 @@ def test_sql_functions(spark):
     assert tuple(r) == ("P-101A", "X Y", "FV-", True, "s-[T]->t", ["a-1", "b"], '{"n": 3}')
     rows = spark.sql("select * from extract_entities('P101A, p-101a, SOP-17 and L-99')").collect()
     assert [tuple(x) for x in rows] == [("Equipment", "P-101A"), ("Procedure", "SOP-17")]
+    rows = spark.sql("select d.i, e.kind, e.value from values (1, 'P-10 wo-3'), (2, null), (3, 'INC-2020-1 and XY-12') d(i, s), lateral extract_entities(d.s) e")
+    assert sorted(map(tuple, rows.collect())) == [(1, "Equipment", "P-10"), (1, "WorkOrder", "WO-3"), (3, "Incident", "INC-2020-1")]
     assert spark.createDataFrame([("P-1 P-22",)], "t string").select(F.size(F.split("t", " "))).first()[0] == 2
 
 
