@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 from test_graph import edges, nodes
@@ -120,6 +121,34 @@ def test_drawing(spark):
     assert max(t.x + t.width for t in got) == 1950 and max(t.y + t.height for t in got) == 1200 and len(covered) > 900
 
 
+def test_unobstructed_against_all_triples(spark):
+    """Crowded sheets, symbols on one spot, names and centres that repeat or lack; a sheet too large for triples."""
+    import random
+
+    draw = random.Random(7)
+    some = lambda n, names, size: [(d, f"T{draw.randrange(names)}", float(draw.randrange(size)), float(draw.randrange(size))) for d in ("u", "w") for _ in range(n)]
+    for rows in (some(40, 10**6, 300), some(40, 30, 100), some(30, 3, 90), [*some(30, 60, 200), ("u", "Z1", None, 5.0), ("u", None, 1.0, 2.0), (None, "Z2", 1.0, 2.0)]):
+        symbols = spark.createDataFrame(rows, "drawing string, tag string, x double, y double")
+        want = []
+        for d, a, ax, ay in rows:
+            for e, b, bx, by in rows:
+                if None in (d, a, b) or d != e or not a < b:
+                    continue
+                hidden = False
+                for f, c, cx, cy in rows:
+                    if f != d or None in (c, ax, ay, bx, by, cx, cy) or c in (a, b) or (ax, ay) == (bx, by):
+                        continue
+                    dx, dy = bx - ax, by - ay
+                    t = ((cx - ax) * dx + (cy - ay) * dy) / (dx * dx + dy * dy)
+                    hidden |= 0.05 < t < 0.95 and abs((cx - ax) * dy - (cy - ay) * dx) / math.sqrt(dx * dx + dy * dy) < 30
+                if not hidden:
+                    want.append((d, a, b))
+        assert sorted((r.drawing, r.a_tag, r.b_tag) for r in extract.unobstructed(symbols).collect()) == sorted(want)
+    grid = spark.range(3000).select(F.lit("u").alias("drawing"), F.concat(F.lit("G"), "id").alias("tag"), (F.col("id") % 100 * 40).cast("double").alias("x"), (F.floor(F.col("id") / 100) * 40).cast("double").alias("y"))
+    pairs = extract.unobstructed(grid)
+    assert pairs.where("abs(a_x - b_x) + abs(a_y - b_y) = 40").count() == 99 * 30 + 100 * 29
+
+
 def test_dossier(spark):
     n = nodes(spark, [("Equipment:P-1", "Equipment", {"tag": "P-1", "name": "pump"}, ["d"]), ("WorkOrder:1", "WorkOrder", {"wo_id": "1", "date": "2024-01-01"}, ["d"]), ("WorkOrder:2", "WorkOrder", {"wo_id": "2", "date": "2024-02-01"}, ["d"]), ("Procedure:S", "Procedure", {"sop_id": "S", "title": "t"}, ["d"]), ("Chunk:INSP-1::insp", "Chunk", {"doc_id": "INSP-1", "text": "status: OVERDUE"}, ["INSP-1"]), ("Equipment:P-2", "Equipment", {"tag": "P-2"}, [])])
     e = edges(spark, [("WorkOrder:1", "PERFORMED_ON", "Equipment:P-1", []), ("WorkOrder:2", "PERFORMED_ON", "Equipment:P-1", []), ("WorkOrder:2", "EXHIBITS", "FailureMode:VIB", []), ("Procedure:S", "GOVERNS", "Equipment:P-1", []), ("Equipment:P-2", "CONNECTED_TO", "Equipment:P-1", []), ("Chunk:INSP-1::insp", "MENTIONS", "Equipment:P-1", [])])
