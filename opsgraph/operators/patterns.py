@@ -3,8 +3,9 @@
 Events: ``asset``, ``event_id``, ``kind``, ``day`` (date, may be null), ``codes`` (array), ``text``.
 
 A precursor of a failure is another code on the same asset 1 to 30 days before.  Instead of joining events with
-events, the days on which a code is in force for what follows are spread out (30 days a distinct asset, day and code)
-and joined by equality, so the work grows with the events' days and not with the square of an asset's events.
+events, the days on which a code is in force for what follows are set as bits of blocks of 32 days (two blocks an event,
+or'ed by asset, code and block) and joined by equality, so the work grows with the events and not with the square of an
+asset's events.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from ..functions import vocabulary as V
 from ..functions.text import component, extract_tags, failure_codes, failure_name, parse_day
 
 GROUP = ["asset", "code", "component"]
+#: Days of a block, a bit each.
+BLOCK = 32
 
 
 def asset_events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,9 +46,14 @@ def precursors(events: DataFrame, days: int = V.PRECURSOR_DAYS, scoped: bool = T
         targets = targets.withColumn("component", F.lit(None).cast("string"))
     daily = targets.groupBy(*GROUP, "day").agg(F.count("*").alias("n"))
     total = daily.groupBy(*GROUP).agg(F.sum("n").alias("target_total"))
-    seen = events.where("day is not null").select("asset", "day", F.explode("codes").alias("before")).distinct()
-    force = seen.select("asset", "before", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", days))).alias("day")).distinct()
-    met = daily.join(force, ["asset", "day"]).where("before <> code").groupBy(*GROUP, "before").agg(F.sum("n").alias("matched"))
+    span, start = F.unix_date("day"), F.col("block") * BLOCK
+    blocks = F.sequence(F.floor((span + 1) / BLOCK), F.floor((span + days) / BLOCK))
+    seen = events.where("day is not null").select("asset", span.alias("d"), F.explode("codes").alias("before"), blocks.alias("blocks")).select("asset", "d", "before", F.explode("blocks").alias("block"))
+    low, high = F.greatest(F.col("d") + 1, start) - start, F.least(F.col("d") + days, start + (BLOCK - 1)) - start
+    bits = F.expr("shiftleft(1L, cast(high + 1 as int)) - shiftleft(1L, cast(low as int))")
+    force = seen.select("asset", "before", "block", low.alias("low"), high.alias("high")).groupBy("asset", "before", "block").agg(F.bit_or(bits).alias("days"))
+    placed = daily.withColumn("block", F.floor(span / BLOCK))
+    met = placed.join(force, ["asset", "block"]).where("before <> code").where(F.expr(f"shiftright(days, cast(unix_date(day) - block * {BLOCK} as int)) & 1 = 1")).groupBy(*GROUP, "before").agg(F.sum("n").alias("matched"))
     same = [met[c].eqNullSafe(total[c]) for c in GROUP]
     return met.join(total, same[0] & same[1] & same[2]).select(*[met[c] for c in GROUP], F.col("before").alias("precursor"), "matched", "target_total")
 
@@ -54,8 +62,13 @@ def pattern_cards(events: DataFrame, least: int = V.PATTERN_EVENTS, days: int =
     """Groups of at least ``least`` events with span, evidence, most common precursor (of equals the first code),
     strength and recommendation."""
     rows = failures(events)
-    evidence = F.slice(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("day", F.to_date(F.lit("0001-01-01"))).alias("d"), F.col("event_id").alias("e")))), lambda x: x["e"]), 1, 8)
-    groups = rows.groupBy(*GROUP).agg(F.count("*").alias("events"), F.round(F.coalesce(F.datediff(F.max("day"), F.min("day")), F.lit(0)) / 365.0, 1).alias("span_years"), evidence.alias("evidence"), F.count("day").alias("target_total")).where(F.col("events") >= least)
+    # The first eight of a group by a ranking that limits before it moves, not out of a list of all.
+    first = Window.partitionBy(*GROUP).orderBy(F.coalesce("day", F.to_date(F.lit("0001-01-01"))), "event_id")
+    few = rows.select(*GROUP, "day", "event_id", F.row_number().over(first).alias("place")).where("place <= 8")
+    evidence = few.groupBy(*[F.col(c).alias(f"e_{c}") for c in GROUP]).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "event_id"))), lambda x: x["event_id"]).alias("evidence"))
+    groups = rows.groupBy(*GROUP).agg(F.count("*").alias("events"), F.round(F.coalesce(F.datediff(F.max("day"), F.min("day")), F.lit(0)) / 365.0, 1).alias("span_years"), F.count("day").alias("target_total")).where(F.col("events") >= least)
+    own = [groups[c].eqNullSafe(evidence[f"e_{c}"]) for c in GROUP]
+    groups = groups.join(evidence, own[0] & own[1] & own[2]).select(*GROUP, "events", "span_years", "evidence", "target_total")
     best = precursors(events, days).groupBy(*GROUP).agg(F.min(F.struct((-F.col("matched")).alias("m"), "precursor")).alias("b")).select(*[F.col(c).alias(f"b_{c}") for c in GROUP], F.col("b.precursor").alias("precursor"), (-F.col("b.m")).alias("matched"))
     on = [groups[c].eqNullSafe(best[f"b_{c}"]) for c in GROUP]
     cards = groups.join(best, on[0] & on[1] & on[2], "left").drop(*[f"b_{c}" for c in GROUP])
