@@ -1,9 +1,9 @@
 """Continuous ingest and alerts.
 
-Every micro-batch of notes or work orders is extracted, merged into the snapshot and recorded as one row of the deltas
-table.  Several streams of one driver may share a folder: their commits take turns, each makes the next version out of
-the last committed one, and a batch that is repeated after a failure is recognised by its stream and number and changes
-nothing.
+Every micro-batch of notes or work orders is extracted, added to the graph as a version and recorded as one row of the
+deltas table; who reads a version gets it merged.  Several streams of one driver may share a folder: their commits take
+turns, each makes the next version out of the last committed one, and a batch that is repeated after a failure is
+recognised by its stream and number and changes nothing.
 """
 
 from __future__ import annotations
@@ -22,10 +22,7 @@ _locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 def commits(spark: SparkSession, folder: str) -> list[tuple[int, str, int]]:
     """(version, stream, batch) of what is committed, in order: a name in a folder each."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/commits")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
-    return sorted((int(v), kind, int(batch)) for v, kind, batch in (n.split("~") for n in names if "~" in n))
+    return sorted((int(v), kind, int(batch)) for v, kind, batch in (n.split("~") for n in writers.names(spark, f"{folder}/commits") if "~" in n))
 
 
 def current(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -43,8 +40,7 @@ def merge_batch(spark: SparkSession, folder: str, new_nodes: DataFrame, new_edge
             return
         nodes, edges = current(spark, folder)
         version = done[-1][0] + 1 if done else 0
-        merged_nodes, merged_edges, counts = graph.apply_delta(nodes, edges, new_nodes, new_edges)
-        graph.save(merged_nodes, merged_edges, f"{folder}/v{version}")
+        counts = graph.grow(nodes, edges, new_nodes, new_edges, folder, version)
         writers.write_deltas(counts.select(F.lit(batch).alias("batch"), F.lit(kind).alias("kind"), "nodes_added", "edges_added"), f"{folder}/deltas", f"{kind}-{batch}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/commits/{version:09d}~{kind}~{batch}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(path)
@@ -67,8 +63,12 @@ def ingest_notes(stream: DataFrame, folder: str, checkpoint: str, trigger: dict
     """A query over a stream of notes (note_id, transcript, role)."""
 
     def each(batch: DataFrame, n: int) -> None:
-        nodes, edges, _ = extract.notes(batch.dropDuplicates(["note_id"]))
-        merge_batch(batch.sparkSession, folder, *_graph_columns(nodes, edges), n, "note")
+        # Tags, codes and order of a note are found once, for nodes and edges alike.
+        spark, heard = batch.sparkSession, f"{folder}/heard/note-{n}"
+        extract.heard(batch.dropDuplicates(["note_id"])).write.mode("overwrite").parquet(heard)
+        nodes, edges, _ = extract.notes(spark.read.parquet(heard))
+        merge_batch(spark, folder, *_graph_columns(nodes, edges), n, "note")
+        writers.remove(spark, heard)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

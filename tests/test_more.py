@@ -39,6 +39,46 @@ def test_two_streams_share_a_folder(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/feed").count() == 4
 
 
+def test_a_version_holds_its_delta_and_gathers_no_hub(spark, tmp_path):
+    """Versions merge to what the deltas give one after another, and follow a whole one; on disk a hub stays in rows of a
+    stamp each, nothing is written twice, and counting by type gathers no provenance."""
+    folder = f"{tmp_path}/g"
+    hub = lambda k, props: nodes(spark, [(f"TacitNote:{k}", "TacitNote", {}, [f"d{k}"]), ("FailureMode:VIB", "FailureMode", props, [f"d{k}"]), ("FailureMode:VIB", "FailureMode", {"name": "later"}, [f"e{k}"])])
+    deltas = [(hub(k, props), edges(spark, [(f"TacitNote:{k}", "ABOUT", "FailureMode:VIB", [f"d{k}"]), (f"TacitNote:{k}", "ABOUT", "Equipment:P-1", [f"d{k}"])])) for k, props in enumerate([{"code": "VIB", "name": ""}, {"code": "x"}, {"code": "y", "name": "z"}])]
+    whole = G.apply_delta(*G.load(spark, f"{tmp_path}/none"), *deltas[0])
+    for start in (0, 1):
+        at = f"{folder}{start}"
+        if start:
+            G.save(*whole[:2], f"{at}/v0")
+            (tmp_path / f"g{start}" / "commits").mkdir()
+            (tmp_path / f"g{start}" / "commits" / "000000000~note~0").touch()
+        for batch in range(start, 3):
+            ingest.merge_batch(spark, at, *deltas[batch], batch, "note")
+        n, e = ingest.current(spark, at)
+        got = {r.key: r for r in n.collect()}
+        assert set(got) == {"TacitNote:0", "TacitNote:1", "TacitNote:2", "FailureMode:VIB", "Equipment:P-1"} and e.count() == 6
+        vib = got["FailureMode:VIB"]
+        assert (vib.type, vib.props, vib.doc_ids) == ("FailureMode", {"code": "VIB", "name": "later"}, ["d0", "d1", "d2", "e0", "e1", "e2"])
+        assert [p.doc_id for p in vib.provenance] == ["d0", "e0", "d1", "e1", "d2", "e2"]
+        assert len(G.load(spark, f"{at}/v1")[0].where("type = 'TacitNote'").collect()) == 2
+        rows = spark.read.parquet(*[f"{at}/parts/v{v}/nodes" for v in range(start, 3)])
+        assert rows.count() == 3 * (3 - start) and rows.agg(F.max(F.size("provenance"))).first()[0] == 1
+        assert sorted((r.batch, r.nodes_added, r.edges_added) for r in spark.read.parquet(f"{at}/deltas").collect()) == [(0, 2, 2), (1, 1, 2), (2, 1, 2)][start:]
+        assert "collect_list" not in G.summary(n, e)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tags_and_codes_of_a_note_are_found_once(spark, tmp_path, monkeypatch):
+    """A batch's nodes, edges and counts read what was heard; it isn't found anew for each of them, and isn't kept."""
+    asked = []
+    monkeypatch.setattr(extract, "notes", lambda rows, f=extract.notes: asked.append(rows.columns) or f(rows))
+    spark.createDataFrame([("N1", "P-101A vibration", None), ("N1", "P-101A vibration", None), ("N2", None, None)], "note_id string, transcript string, role string").write.json(f"{tmp_path}/in")
+    q = ingest.ingest_notes(spark.readStream.schema("note_id string, transcript string, role string").json(f"{tmp_path}/in"), f"{tmp_path}/g", f"{tmp_path}/check")
+    q.awaitTermination(120)
+    assert q.exception() is None and {"tags", "codes", "o"} <= set(asked[0])
+    assert writers.names(spark, f"{tmp_path}/g/heard") == []
+    assert sorted((r.part, r.type, r.n) for r in G.summary(*ingest.current(spark, f"{tmp_path}/g")).where("type is not null").collect()) == [("edge", "ABOUT", 2), ("edge", "MENTIONS", 1), ("node", "Chunk", 2), ("node", "Equipment", 1), ("node", "FailureMode", 1), ("node", "TacitNote", 2)]
+
+
 def test_a_broken_snapshot_is_an_error(spark, tmp_path):
     G.save(*note_graph(spark, 1), f"{tmp_path}/g")
     import shutil
